@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import splitting
+from corpusloom.llm import neardup, splitting
 from corpusloom.sources.tables import table
 
 
@@ -19,10 +19,20 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_pieces(spark, d).select("item_kind", "item_id").distinct()
 
 
+def _duplicates(spark: SparkSession, d: str) -> neardup.NearDuplicates:
+    return neardup.NearDuplicates(neardup.corpus_texts(table(spark, d, "documents"), table(spark, d, "chunks")))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    kind = F.when(F.col("kind") == 0, "document").otherwise("chunk")
+    return _duplicates(spark, d).pairs().select(kind.alias("rec_kind"), "id_a", "id_b")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p2_found": p2_found,
         "p2_pieces": p2_pieces,
+        "p5_found": p5_found,
     }
 
 

@@ -3,8 +3,9 @@
 An item longer than ``max_tokens`` becomes overlapping pieces.  The steps:
 
 1. every legal boundary of an oversized text becomes a row: paragraph (4),
-   line (3), sentence (2), word (1); where two neighbours lie more than
-   ``gap`` characters apart, hard cuts (0) are added on a grid between them;
+   line (3), sentence (2); where two of them lie more than ``wide`` characters
+   apart also the word ends (1) between them, and where even two of these lie
+   more than ``gap`` apart hard cuts (0) on a grid;
 2. each boundary, as the start of a piece, is joined to its *farthest legal
    end* (the farthest boundary of the strongest kind in the second half of the
    allowed length) and, from there back by the overlap, to the start of the
@@ -38,26 +39,35 @@ from corpusloom.sources.tables import materialise
 
 MAX_TOKENS, OVERLAP_TOKENS, CHARS_PER_TOKEN = 1500, 200, 4
 
-_NATURAL = re.compile(r"(?P<p>\r?\n[ \t]*\r?\n\s*)|(?P<l>\r?\n[ \t]*)|(?P<s>[.!?;]['\")\]]*[ \t]+|[。！？、])|(?P<w>[ \t]+)")
-_RANK = {"p": 4, "l": 3, "s": 2, "w": 1}
+_STRONG = re.compile(r"(?P<p>\r?\n[ \t]*\r?\n\s*)|(?P<l>\r?\n[ \t]*)|(?P<s>[.!?;]['\")\]]*[ \t]+|[。！？、])")
+_WORD = re.compile(r"[ \t]+")
+_RANK = {"p": 4, "l": 3, "s": 2}
 #: Words that end in a dot without ending a sentence (lower case, fixed values).
 _ABBREVIATIONS = frozenset("no nr cf e.g i.e etc art abs vgl bzw z.b p.ej sr sra dr mr mrs ms st fig vol pp pg ca approx".split())
 
 
-def boundaries(text: str, gap: int) -> list[tuple[int, int]]:
+def boundaries(text: str, gap: int, wide: int) -> list[tuple[int, int]]:
     """``(position, rank)`` of the legal cuts of *text*, with both ends (rank 5)."""
-    out = [(0, 5)]
-    for m in _NATURAL.finditer(text):
+    strong = [(0, 5)]
+    for m in _STRONG.finditer(text):
         rank, at = _RANK[m.lastgroup], m.end()
         if rank == 2 and m.group()[0] == ".":
             word = text[max(0, m.start() - 12) : m.start()].rsplit(None, 1)[-1:] or [""]
             if word[0].lower().lstrip("(") in _ABBREVIATIONS or word[0].isdigit() and len(word[0]) < 3:
-                rank = 1
-        _fill(out, at, gap)
+                continue
         if at < len(text):
-            out.append((at, rank))
-    _fill(out, len(text), gap)
-    out.append((len(text), 5))
+            strong.append((at, rank))
+    strong.append((len(text), 5))
+    out = strong[:1]
+    for at, rank in strong[1:]:
+        last = out[-1][0]
+        if at - last > wide:
+            for m in _WORD.finditer(text, last + 1, at):
+                if m.end() < at:
+                    _fill(out, m.end(), gap)
+                    out.append((m.end(), 1))
+        _fill(out, at, gap)
+        out.append((at, rank))
     return out
 
 
@@ -66,12 +76,12 @@ def _fill(out: list[tuple[int, int]], at: int, gap: int) -> None:
     out.extend((x, 0) for x in range(last + gap, at, gap))
 
 
-def _boundary_batches(gap: int):
+def _boundary_batches(gap: int, wide: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys, texts = b.column("item"), b.column("text")
             for i in range(b.num_rows):  # one text at a time keeps memory at one text's boundaries
-                cuts = boundaries(texts[i].as_py(), gap)
+                cuts = boundaries(texts[i].as_py(), gap, wide)
                 item = keys[i].as_py()
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([item] * len(cuts), pa.binary()), pa.array([p for p, _ in cuts], pa.int64()), pa.array([r for _, r in cuts], pa.int32())],
@@ -98,14 +108,14 @@ def split_oversized(
     gap = max(1, min(longest // 4, (longest - back) // 2))
     if back + 2 * gap > longest:
         raise ValueError("the overlap must be under half of the limit")
-    key = F.unhex(F.sha2(F.concat_ws("\x1f", F.col("item_kind"), F.coalesce("item_id", F.lit("\x00")), F.col("content")), 256))
+    key = F.unhex(F.substring(F.sha2(F.concat_ws("\x1f", F.col("item_kind"), F.coalesce("item_id", F.lit("\x00")), F.col("content")), 256), 1, 32))
     big = (
         items.where(F.length("content") > longest)
         .select("item_kind", "item_id", F.col("content").alias("text"), key.alias("item"))
         .dropDuplicates(["item"])
     )
     big = materialise(big, "split-items")
-    at = materialise(big.select("item", "text").mapInArrow(_boundary_batches(gap), "item binary, pos long, rank int"), "split-boundaries")
+    at = materialise(big.select("item", "text").mapInArrow(_boundary_batches(gap, min(gap, max(1, back // 2)) if back else gap), "item binary, pos long, rank int"), "split-boundaries")
     block = longest * block_pieces
     ends = materialise(_successors(at, longest, back, block), "split-successors")
     size = big.agg(F.max(F.length("text"))).first()[0]
