@@ -87,15 +87,16 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint64).view(np.int64)
 
 
-def describe(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def describe(sets: list[np.ndarray], kinds: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """Routing keys (len x BANDS, uint64) and bitmaps (len x BITS/8 bytes) of the sets."""
     size = np.array([len(s) for s in sets])
     flat = np.concatenate(sets)
     off = np.r_[0, np.cumsum(size)[:-1]]
     low = flat.astype(np.uint32)
     keys = np.empty((len(sets), BANDS), np.uint64)
+    kind = np.array(kinds, np.uint64) * _M[3]  # records of different kinds never meet
     for b in range(BANDS):
-        k = np.full(len(sets), (b * 0x9E3779B97F4A7C15) & (2**64 - 1), np.uint64)
+        k = kind ^ np.uint64((b * 0x9E3779B97F4A7C15) & (2**64 - 1))
         for r in range(b * ROWS, (b + 1) * ROWS):
             k = (k ^ np.minimum.reduceat(low * _A[r] ^ _B[r], off)) * _M[1]
             k ^= k >> np.uint64(32)
@@ -136,7 +137,7 @@ def _records(rows: list[tuple], seen: set[int]) -> pa.RecordBatch:
         if k not in seen:
             seen.add(k)
             fresh.append(i)
-    keys, sigs = describe([rows[i][2] for i in fresh]) if fresh else (np.zeros((0, BANDS), np.uint64), np.zeros((0, BITS // 8), np.uint8))
+    keys, sigs = describe([rows[i][2] for i in fresh], [rows[i][0] for i in fresh]) if fresh else (np.zeros((0, BANDS), np.uint64), np.zeros((0, BITS // 8), np.uint8))
     at = {i: j for j, i in enumerate(fresh)}
     band = _signed(keys).reshape(keys.shape) if len(fresh) else keys
     return pa.RecordBatch.from_arrays(
