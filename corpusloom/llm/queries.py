@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import neardup, splitting
+from corpusloom.llm import neardup, similar, splitting
 from corpusloom.sources.tables import table
 
 
@@ -19,6 +19,11 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_pieces(spark, d).select("item_kind", "item_id").distinct()
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    near = similar.most_similar(table(spark, d, "chunks").select("id", F.col("embedding").alias("v")), 5, 0.9)
+    return near.select(F.least("id", "other_id").alias("id_a"), F.greatest("id", "other_id").alias("id_b")).distinct()
+
+
 def _duplicates(spark: SparkSession, d: str) -> neardup.NearDuplicates:
     return neardup.NearDuplicates(neardup.corpus_texts(table(spark, d, "documents"), table(spark, d, "chunks")))
 
@@ -32,6 +37,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p2_found": p2_found,
         "p2_pieces": p2_pieces,
+        "p3_found": p3_found,
         "p5_found": p5_found,
     }
 
