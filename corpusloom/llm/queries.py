@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import neardup, similar, splitting
+from corpusloom.llm import mixing, neardup, packing, similar, splitting, subjects
 from corpusloom.sources.tables import table
 
 
@@ -33,12 +33,50 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return _duplicates(spark, d).pairs().select(kind.alias("rec_kind"), "id_a", "id_b")
 
 
+def p6_pack(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack_documents(table(spark, d, "documents"), table(spark, d, "token_budgets"))
+
+
+def p6_report(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_report(p6_pack(spark, d), table(spark, d, "token_budgets"))
+
+
+def _mix(spark: SparkSession, d: str) -> mixing.SourceMix:
+    return mixing.SourceMix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d).selection()
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d).report()
+
+
+def _subjects(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.subject_posteriors(*(table(spark, d, t) for t in ("documents", "subject_areas", "subject_labels")))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _subjects(spark, d).select("doc_id", "subject")
+
+
+def p8_composition(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.composition(table(spark, d, "documents"), _subjects(spark, d))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p2_found": p2_found,
         "p2_pieces": p2_pieces,
         "p3_found": p3_found,
         "p5_found": p5_found,
+        "p6_pack": p6_pack,
+        "p6_report": p6_report,
+        "p7_mix": p7_mix,
+        "p7_report": p7_report,
+        "p8_found": p8_found,
+        "p8_composition": p8_composition,
     }
 
 
