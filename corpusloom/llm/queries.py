@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import mixing, neardup, packing, similar, splitting, subjects
+from corpusloom.llm import mixing, neardup, packing, scans, similar, splitting, subjects
 from corpusloom.sources.tables import table
 
 
@@ -24,6 +24,14 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return near.select(F.least("id", "other_id").alias("id_a"), F.greatest("id", "other_id").alias("id_b")).distinct()
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return scans.noisy_lines(table(spark, d, "documents").select("doc_id", "raw_markdown", "title"))
+
+
+def p4_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return scans.repaired(table(spark, d, "documents").select("doc_id", "raw_markdown", "title"))
+
+
 def _duplicates(spark: SparkSession, d: str) -> neardup.NearDuplicates:
     return neardup.NearDuplicates(neardup.corpus_texts(table(spark, d, "documents"), table(spark, d, "chunks")))
 
@@ -70,6 +78,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p2_found": p2_found,
         "p2_pieces": p2_pieces,
         "p3_found": p3_found,
+        "p4_found": p4_found,
+        "p4_repaired": p4_repaired,
         "p5_found": p5_found,
         "p6_pack": p6_pack,
         "p6_report": p6_report,

@@ -96,10 +96,10 @@ def _counted(counts: dict[str, np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.list_(pa.float64()))], names=["word", "c"])
 
 
-def _lexicon(counted: DataFrame, k: int) -> dict[str, int]:
+def _lexicon(counted: DataFrame, k: int, least: int = MIN_COUNT) -> dict[str, int]:
     """Words whose documents, in proportion to the subjects' sizes, belong to one subject."""
     sums = counted.groupBy("word").agg(*[F.sum(F.col("c")[i]).alias(f"c{i}") for i in range(k)])
-    sums = materialise(sums.where(" + ".join(f"c{i}" for i in range(k)) + f" >= {MIN_COUNT} or word = ''"), "subject-words")
+    sums = materialise(sums.where(" + ".join(f"c{i}" for i in range(k)) + f" >= {least} or word = ''"), "subject-words")
     row = sums.where("word = ''").first()
     if row is None:
         return {}
@@ -193,7 +193,7 @@ def subject_posteriors(documents: DataFrame, areas: DataFrame, labels: DataFrame
     docs = documents.where("text is not null and text <> ''").select(
         "doc_id", "text", "title", F.concat_ws(" ", "source_path", "name").alias("address"), F.lower(F.trim("source")).alias("source")
     )
-    lexicon = _lexicon(docs.join(F.broadcast(fit), "doc_id").select("text", "subjects").mapInArrow(_count_batches(k, None), "word string, c array<double>"), k) if k else {}
+    lexicon = _lexicon(docs.join(F.broadcast(fit), "doc_id").select("text", "subjects").mapInArrow(_count_batches(k, None), "word string, c array<double>"), k, 2) if k else {}
     for _ in range(ROUNDS):
         lexicon = _lexicon(docs.select("text").mapInArrow(_count_batches(k, lexicon), "word string, c array<double>"), k) if lexicon else {}
     if not lexicon:
