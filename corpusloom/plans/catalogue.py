@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.plans import references
+from corpusloom.plans import corpus, references
 
-_MODULES = (references,)
+_MODULES = (references, corpus)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
