@@ -91,3 +91,9 @@ def context(results: DataFrame, sections: DataFrame) -> DataFrame:
     near = up.join(s, "document_id").where(F.col("sp").startswith(F.concat("parent", F.lit("."))) & (F.col("sp") != F.col("path")))
     titles = near.groupBy("id").agg(F.array_join(F.sort_array(F.collect_list("title")), "; ").alias("sibling_titles"))
     return up.join(parent, ["document_id", "parent"], "left").join(titles, "id", "left").select("id", "path", "parent_summary", "sibling_titles")
+
+
+def merge_variants(lists: DataFrame) -> DataFrame:
+    """Of ``(variant, id, score, rank)`` per id the highest score with its own rank; ties go to the earliest variant."""
+    best = F.max_by(F.struct("score", "rank"), F.struct("score", -F.col("variant")))
+    return lists.groupBy("id").agg(best.alias("b")).select("id", "b.score", "b.rank")

@@ -81,6 +81,8 @@ QUERIES = {
     "phrase": lambda s, d: retrieval.phrase(_text(s, d), ["without", "further", "notice"]),
     "prefix": lambda s, d: retrieval.prefix(_text(s, d), "quant"),
     "vector_topk": lambda s, d: retrieval.vector_search(_vectors(s, d), _queries(s, d), 20),
+    "merge_variants": lambda s, d: retrieval.merge_variants(retrieval.vector_search(_vectors(s, d), _queries(s, d), 20).withColumnRenamed("qid", "variant")),
+    "export_json": lambda s, d: table(s, d, "documents").select("doc_id", F.to_json(F.struct("id", "name", "source_type", "title", "author", "tags", "section_count", "chunk_count", "token_count")).alias("json")),
     "rrf_hybrid": lambda s, d: _fused(s, d),
     "rrf_weighted": lambda s, d: _fused(s, d, 2.0),
     "context_lookup": context_lookup,
@@ -130,6 +132,7 @@ SQL = {
     "phrase": r"select doc_id as id from documents where contains(' ' || array_to_string(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> ''), ' ') || ' ', ' without further notice ')",
     "prefix": r"select doc_id as id from documents where len(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: starts_with(x, 'quant'))) > 0",
     "vector_topk": "with " + _VEC.format(q="0, 1, 2", k=20) + " select * from vec",
+    "merge_variants": "with " + _VEC.format(q="0, 1, 2", k=20) + " select id, score, rank from vec qualify row_number() over (partition by id order by score desc, qid) = 1",
     "rrf_hybrid": _RRF.replace("@W", "1.0"),
     "rrf_weighted": _RRF.replace("@W", "2.0"),
     "pdf_route": """select case when pdf_type = 'text_based' and not ocr_recommended and confidence >= 0.9 then 'local_extraction' else 'vlm' end as route,
