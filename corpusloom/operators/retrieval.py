@@ -83,14 +83,23 @@ def fuse(text: DataFrame, vector: DataFrame, limit: int, text_weight: float = 1.
 
 
 def context(results: DataFrame, sections: DataFrame) -> DataFrame:
-    """Parent summary and sorted titles below the parent for ``results(id, document_id, path)`` with a dotted path."""
+    """Parent summary and sorted titles below the parent for ``results(id, document_id, path)`` with a dotted path.
+
+    Every section names each of its ancestors once and the titles are gathered
+    by (document, ancestor), so a large document without depth costs nothing.
+    """
     up = results.where(F.contains("path", F.lit("."))).withColumn("parent", F.regexp_replace("path", r"\.[^.]*$", ""))
     s = sections.select("document_id", F.col("path").alias("sp"), "title", "summary").distinct()
     parent = s.select("document_id", F.col("sp").alias("parent"), F.expr("nullif(summary, '')").alias("parent_summary"))
     parent = parent.groupBy("document_id", "parent").agg(F.min("parent_summary").alias("parent_summary"))
-    near = up.join(s, "document_id").where(F.col("sp").startswith(F.concat("parent", F.lit("."))) & (F.col("sp") != F.col("path")))
-    titles = near.groupBy("id").agg(F.array_join(F.sort_array(F.collect_list("title")), "; ").alias("sibling_titles"))
-    return up.join(parent, ["document_id", "parent"], "left").join(titles, "id", "left").select("id", "path", "parent_summary", "sibling_titles")
+    parts = F.split("sp", r"\.")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "."))
+    below = s.where(F.contains("sp", F.lit("."))).select("document_id", F.explode(above).alias("parent"), "title", "sp")
+    below = below.groupBy("document_id", "parent").agg(F.sort_array(F.collect_list(F.struct("title", "sp"))).alias("below"))
+    found = up.join(parent, ["document_id", "parent"], "left").join(below, ["document_id", "parent"], "left")
+    near = F.filter("below", lambda x: x["sp"] != F.col("path"))
+    titles = F.when(F.size(near) > 0, F.array_join(F.transform(near, lambda x: x["title"]), "; "))
+    return found.select("id", "path", "parent_summary", titles.alias("sibling_titles"))
 
 
 def merge_variants(lists: DataFrame) -> DataFrame:

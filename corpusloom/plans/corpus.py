@@ -41,9 +41,8 @@ def chunk_sections(s: SparkSession, d: str) -> DataFrame:
 
 
 def context_lookup(s: SparkSession, d: str) -> DataFrame:
-    sec = table(s, d, "sections")
-    results = catalog.latest(sec, "id", "loaded_at").where("semantic_type is not null").select("id", "document_id", "path")
-    return retrieval.context(results, catalog.latest(sec, "id", "loaded_at"))
+    sec = catalog.latest(table(s, d, "sections"), "id", "loaded_at")
+    return retrieval.context(sec.select("id", "document_id", "path"), sec)
 
 
 def delete_cascade(s: SparkSession, d: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 
 from corpusloom.operators import catalog, chunking, retrieval, structure
+from corpusloom.plans import corpus
 
 
 def _stack(levels):
@@ -57,3 +58,11 @@ def test_zero_norm_and_fusion(spark):
 def test_pdf_routes(spark):
     rows = spark.createDataFrame([("text_based", 0.97, False), ("text_based", 0.65, False), ("text_based", 0.98, True), ("scanned", 0.99, True), (None, None, None)], "pdf_type string, confidence double, ocr_recommended boolean")
     assert [r.route + "/" + r.reason for r in catalog.pdf_route(rows).collect()] == ["local_extraction/text_based", "vlm/confidence", "vlm/ocr_recommended=true", "vlm/pdf_type=scanned", "vlm/pdf_type=unknown"]
+
+
+def test_context_lookup_takes_every_dotted_section(spark, tmp_path):
+    rows = [("a0", "a", "1", "Top", "sum", "x", 1), ("a1", "a", "1.1", "Old", "", None, 1), ("a1", "a", "1.1", "One", "", None, 2), ("a2", "a", "1.2", "Two", None, "x", 1)]
+    rows += [("a3", "a", "1.1.1", "Niece", None, None, 1), ("a4", "a", "10.1", "Far", None, None, 1), ("b1", "b", "1.1", "Other", None, None, 1), ("b0", "b", "1", "Flat", "", None, 1)]
+    spark.createDataFrame(rows, "id string, document_id string, path string, title string, summary string, semantic_type string, loaded_at int").write.parquet(f"{tmp_path}/sections.parquet")
+    got = {r.id: (r.path, r.parent_summary, r.sibling_titles) for r in corpus.context_lookup(spark, str(tmp_path)).collect()}
+    assert got == {"a1": ("1.1", "sum", "Niece; Two"), "a2": ("1.2", "sum", "Niece; One"), "a3": ("1.1.1", None, None), "a4": ("10.1", None, None), "b1": ("1.1", None, None)}
