@@ -27,7 +27,6 @@ boundary is cut hard.  Pieces never exceed the limit.
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
 
@@ -106,7 +105,7 @@ def split_oversized(
     longest = max_tokens * chars_per_token + chars_per_token - 1  # most characters whose floor stays within the limit
     back = overlap_tokens * chars_per_token
     gap = max(1, min(longest // 4, (longest - back) // 2))
-    if back + 2 * gap > longest:
+    if back >= longest // 2:  # else a piece need not advance
         raise ValueError("the overlap must be under half of the limit")
     key = F.unhex(F.substring(F.sha2(F.concat_ws("\x1f", F.col("item_kind"), F.coalesce("item_id", F.lit("\x00")), F.col("content")), 256), 1, 32))
     big = (
@@ -119,7 +118,7 @@ def split_oversized(
     block = longest * block_pieces
     ends = materialise(_successors(at, longest, back, block), "split-successors")
     size = big.agg(F.max(F.length("text"))).first()[0]
-    starts = _reached(ends, size or 0, longest - back - gap)
+    starts = _reached(ends, size or 0, longest // 2 - back)
     cut = starts.join(ends, ["item", "pos"]).select("item", "pos", "end")
     w = Window.partitionBy("item").orderBy("pos")
     # a window over the pieces of one item: rows are three numbers, a text of n characters has n / 4,000 of them
@@ -168,8 +167,13 @@ def _starts(at: DataFrame, back: int, block: int) -> DataFrame:
 
 
 def _reached(ends: DataFrame, size: int, advance: int) -> DataFrame:
-    """Starts reached from 0, by squaring the successor table."""
-    rounds = max(0, math.ceil(math.log2(max(1, size / advance) + 1)))
+    """Starts reached from 0, by squaring the successor table.
+
+    *advance* is the least distance of two starts: an end lies at
+    ``longest // 2`` or later (a hard cut at ``longest - gap``, which is
+    farther) and the next start at most the overlap before it.
+    """
+    rounds = (max(0, size - 1) // advance).bit_length()  # 2**rounds starts are reached, (size - 1) // advance + 1 can exist
     step = ends.where("next is not null").select("item", F.col("pos").alias("a"), F.col("next").alias("b"))
     reached = ends.where("pos = 0").select("item", "pos")
     for k in range(rounds):

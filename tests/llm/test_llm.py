@@ -25,6 +25,17 @@ def test_split_limits_offsets_and_edges(spark):
     assert splitting.split_oversized(items.limit(0), 50, 10).count() == 0
 
 
+def test_split_covers_pieces_that_advance_little(spark):
+    paragraph = ("x" * 118 + ". ") * 25 + "y" * 98  # 3,098 characters and a blank line: each piece ends after one paragraph
+    text = "\n\n".join([paragraph] * 35)
+    items = spark.createDataFrame([("s", "i", text)], "item_kind string, item_id string, content string")
+    got = sorted((r.piece_no, r.start_offset, r.end_offset) for r in splitting.split_oversized(items).collect())
+    assert got[0][1] == 0 and got[-1][2] == len(text) and len(got) > 32
+    assert all(0 <= a[2] - b[1] <= 800 for a, b in zip(got, got[1:]))
+    with pytest.raises(ValueError):
+        splitting.split_oversized(items, 50, 30)
+
+
 def test_tree_loses_no_pair():
     rng = np.random.default_rng(3)
     sets = []
