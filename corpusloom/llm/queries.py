@@ -24,6 +24,10 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return near.select(F.least("id", "other_id").alias("id_a"), F.greatest("id", "other_id").alias("id_b")).distinct()
 
 
+def p3_nearest(spark: SparkSession, d: str) -> DataFrame:
+    return similar.most_similar(table(spark, d, "chunks").select("id", F.col("embedding").alias("v")), 5)
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return scans.noisy_lines(table(spark, d, "documents").select("doc_id", "raw_markdown", "title"))
 
@@ -78,6 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p2_found": p2_found,
         "p2_pieces": p2_pieces,
         "p3_found": p3_found,
+        "p3_nearest": p3_nearest,
         "p4_found": p4_found,
         "p4_repaired": p4_repaired,
         "p5_found": p5_found,

@@ -13,6 +13,10 @@ vector is a query.  The second coarse codebook grows with the number of
 vectors, so a cell keeps about ``PER_CELL`` members; cells far above that are
 split into blocks of members and of queries.
 
+``probes`` and the short list are lower bounds: the true neighbours of at most
+``QUERIES`` vectors are found by an exact scan, and both are doubled until
+``RECALL`` of them would be found.
+
 Equal vectors are searched once: a class of equal vectors is represented by
 its smallest ids (k + 1 are enough for any list of k), so a vector that a
 third of the rows share costs one search.  Ties go to the smaller id.
@@ -37,6 +41,8 @@ from corpusloom.sources.tables import materialise
 SAMPLE, PER_CELL, STAGES, WORDS, BEAM = 40_000, 1024, 4, 256, 4
 #: Members and queries of one task of a large cell.
 BLOCK = 8192
+#: Vectors whose true neighbours are found exactly to set probes and short list, and the share of these that must be found.
+QUERIES, RECALL = 512, 0.95
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
@@ -177,6 +183,104 @@ def _encode_batches(books: Codebooks, dim: int, probes: int):
     return run
 
 
+def _cell_batches(books: Codebooks, dim: int, probes: int):
+    """The cells of coded vectors again, for more probes."""
+    step = max(16, 8_000_000 // (min(len(books.first), max(probes, 8)) * len(books.second)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, step):
+                rows = b.slice(i, step)
+                cells = books.cells(unpack(rows.column("v").to_pylist(), dim), probes).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([rows.column("vh"), rows.column("v"), pa.array(list(cells), pa.list_(pa.int32()))], names=["vh", "v", "cells"])
+
+    return run
+
+
+def _true_batches(asked: np.ndarray, q: np.ndarray, dim: int, k: int, least: float):
+    """``(q, vh, cosine, ...)``: of each batch the k members nearest to every asked vector, exactly."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            vh, first = np.unique(b.column("vh").to_numpy(), return_index=True)
+            if not len(vh):
+                continue
+            x = unpack(b.column("v").take(pa.array(first)).to_pylist(), dim)
+            score = q @ x.T
+            score[asked[:, None] == vh[None, :]] = -2
+            s = min(k, len(vh))
+            pick = np.argpartition(-score, s - 1, axis=1)[:, :s]
+            found = np.take_along_axis(score, pick, 1).ravel()
+            r, c = np.repeat(np.arange(len(q)), s), pick.ravel()
+            good = (found >= least) & (found > -1.5)
+            rows = b.take(pa.array(first[c[good]]))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(r[good].astype(np.int32)), pa.array(found[good].astype(np.float64)), *(rows.column(n) for n in ("vh", "codes", "norm", "cell"))], names=["q", "cosine", "vh", "codes", "norm", "cell"]
+            )
+
+    return run
+
+
+def _scores(q: np.ndarray, books: Codebooks, cell: int, codes: list[bytes], norm: np.ndarray) -> np.ndarray:
+    """Look-up scores (queries x members) of members of one cell."""
+    c = np.frombuffer(b"".join(codes), np.uint8).reshape(-1, len(books.stages))
+    score = np.repeat((q @ books.centre(np.array([cell]))[0])[:, None], len(c), axis=1)
+    for m, book in enumerate(books.stages):
+        score += (q @ book.T)[:, c[:, m]]
+    return score / np.maximum(norm, 1e-12)
+
+
+def _ahead_batches(books: Codebooks, wanted: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]):
+    """``(pair, n)``: members of its cell that score above the true neighbour of a pair."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cell = b.column("cell").to_numpy()
+            for c in np.unique(cell):
+                if int(c) in wanted:
+                    pair, q, own = wanted[int(c)]
+                    rows = b.take(pa.array(np.flatnonzero(cell == c)))
+                    above = (_scores(q, books, int(c), rows.column("codes").to_pylist(), rows.column("norm").to_numpy()) > own[:, None] + 1e-6).sum(1)
+                    yield pa.RecordBatch.from_arrays([pa.array(pair.astype(np.int32)), pa.array(above.astype(np.int64))], names=["pair", "n"])
+
+    return run
+
+
+def _widths(coded: DataFrame, n: int, books: Codebooks, dim: int, k: int, least: float, probes: int, short: int) -> tuple[int, int]:
+    """Probes and short list that find ``RECALL`` of the true neighbours of a bounded query set."""
+    slices = max(1, n // (4 * QUERIES))
+    some = coded.where(F.pmod(F.xxhash64("vh"), F.lit(slices)) == 0).select("vh", "v").dropDuplicates(["vh"]).orderBy(F.xxhash64("vh"), "vh").limit(QUERIES).toArrow()
+    if not some.num_rows:
+        return probes, short
+    asked, q = some.column("vh").to_numpy(), unpack(some.column("v").to_pylist(), dim)
+    rows = coded.select("vh", "v", "codes", "norm", F.col("cells")[0].alias("cell"))
+    near = rows.mapInArrow(_true_batches(asked, q, dim, k, least), "q int, cosine double, vh long, codes binary, norm float, cell int").dropDuplicates(["q", "vh"])
+    w = Window.partitionBy("q").orderBy(F.desc("cosine"), "vh")
+    true = near.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k).toArrow()  # at most k * QUERIES rows
+    if not true.num_rows:
+        return probes, short
+    who, cell, codes, norm = true.column("q").to_numpy(), true.column("cell").to_numpy(), true.column("codes").to_pylist(), true.column("norm").to_numpy()
+    wanted = {}
+    for c in np.unique(cell):
+        at = np.flatnonzero(cell == c)
+        wanted[int(c)] = (at, q[who[at]], np.array([_scores(q[who[i]][None], books, int(c), [codes[i]], norm[i : i + 1])[0, 0] for i in at]))
+    one = rows.select("vh", "codes", "norm", "cell").where(F.col("cell").isin(*wanted)).dropDuplicates(["vh"])
+    place = np.ones(len(who), np.int64)
+    for r in one.mapInArrow(_ahead_batches(books, wanted), "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
+        place[r.pair] += r.n
+    cells = len(books.first) * len(books.second)
+    while True:
+        seen = np.concatenate([(books.cells(q[i : i + 16], probes)[who[(who >= i) & (who < i + 16)] - i] == cell[(who >= i) & (who < i + 16), None]).any(1) for i in range(0, len(q), 16)])
+        seen = seen[np.argsort(np.concatenate([np.flatnonzero((who >= i) & (who < i + 16)) for i in range(0, len(q), 16)]))]
+        listed = place <= short
+        if (seen & listed).mean() >= RECALL:
+            return probes, short
+        if seen.mean() <= listed.mean() and probes < cells or listed.all():
+            probes = min(cells, 2 * probes)
+        else:
+            short *= 2
+
+
 def _search_batches(books: Codebooks, dim: int, k: int, short: int, least: float):
     """Groups of rows sorted by (cell, part, role): members (role 0) first, then queries (role 1)."""
 
@@ -244,7 +348,8 @@ def _search(rows: pa.RecordBatch, ready: tuple, books: Codebooks, cell: int, dim
 def most_similar(vectors: DataFrame, k: int = 5, min_cosine: float = -1.0, dim: int = 64, probes: int = 6, short: int = 24) -> DataFrame:
     """``(id, other_id, cosine, rank)``: the k most similar other ids of every id of ``vectors(id string, v array<float|double>)``.
 
-    Only neighbours with a cosine of at least *min_cosine* come out.
+    Only neighbours with a cosine of at least *min_cosine* come out.  *probes*
+    and *short* grow where the measured recall asks for it.
     """
     rows = vectors.where("id is not null and v is not null").where(F.size("v") == dim)
     n = rows.count()
@@ -259,10 +364,11 @@ def most_similar(vectors: DataFrame, k: int = 5, min_cosine: float = -1.0, dim:
         seconds *= 2
     books = Codebooks.fit(_unit(x), seconds)
     schema = "id string, v binary, codes binary, norm float, cells array<int>"
-    coded = materialise(rows.select("id", "v").mapInArrow(_encode_batches(books, dim, probes), schema).withColumn("vh", F.xxhash64("v")), "similar-codes")
+    coded = materialise(rows.select("id", "v").mapInArrow(_encode_batches(books, dim, 1), schema).withColumn("vh", F.xxhash64("v")), "similar-codes")
+    probes, short = _widths(coded, n, books, dim, k, min_cosine, probes, short)
     # classes of equal vectors, by their k + 2 smallest ids
     named = coded.select("vh", "id").distinct().withColumn("rn", F.row_number().over(Window.partitionBy("vh").orderBy("id"))).where(F.col("rn") <= k + 2)
-    found = materialise(_neighbours(coded, books, dim, k, short, min_cosine), "similar-found")
+    found = materialise(_neighbours(coded, books, dim, k, probes, short, min_cosine), "similar-found")
     other = found.join(named.select(F.col("vh").alias("qb"), F.col("id").alias("other_id")), "qb").select("qa", "other_id", "cosine")
     twins = coded.groupBy("vh").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("vh")
     same = named.join(twins, "vh", "left_semi").select(F.col("vh").alias("qa"), F.col("id").alias("other_id"), F.lit(1.0).alias("cosine"))
@@ -276,11 +382,12 @@ def most_similar(vectors: DataFrame, k: int = 5, min_cosine: float = -1.0, dim:
     )
 
 
-def _neighbours(coded: DataFrame, books: Codebooks, dim: int, k: int, short: int, least: float) -> DataFrame:
+def _neighbours(coded: DataFrame, books: Codebooks, dim: int, k: int, probes: int, short: int, least: float) -> DataFrame:
     """``(qa, qb, cosine)``: of each class of equal vectors, the k nearest classes."""
     one = coded.dropDuplicates(["vh"])
+    wide = one.select("vh", "v").mapInArrow(_cell_batches(books, dim, probes), "vh long, v binary, cells array<int>")
     sizes = one.groupBy(F.col("cells")[0].alias("cell")).agg(F.count(F.lit(1)).alias("n"))
-    asked = one.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("q"))
+    asked = wide.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("q"))
     # at most 65,536 cells exist, so this list is bounded; it holds those that need splitting
     large = sizes.join(asked, "cell", "full").where((F.coalesce("n", F.lit(0)) > BLOCK) | (F.coalesce("q", F.lit(0)) > 8 * BLOCK))
     large = large.select("cell", F.ceil(F.coalesce("n", F.lit(1)) / BLOCK).cast("int").alias("mb"), F.ceil(F.coalesce("q", F.lit(1)) / (8 * BLOCK)).cast("int").alias("qb"))
@@ -294,7 +401,7 @@ def _neighbours(coded: DataFrame, books: Codebooks, dim: int, k: int, short: int
         .select("cell", F.explode(F.transform(F.sequence(F.lit(0), qb - 1), lambda j: mine * qb + j)).alias("part"), F.lit(0).alias("role"), "vh", "v", "codes", "norm")
     )
     queries = (
-        one.select(F.explode("cells").alias("cell"), "vh", "v")
+        wide.select(F.explode("cells").alias("cell"), "vh", "v")
         .join(large, "cell", "left")
         .select(
             "cell",

@@ -87,6 +87,19 @@ def test_similar_against_brute_force(spark):
     assert similar.most_similar(df.limit(0), dim=8).count() == 0
 
 
+def test_similar_widens_where_cells_split_the_neighbours(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(3000, 16))
+    x[:1000] = x[0] + rng.normal(size=(1000, 16)) * 0.1  # a third are near copies of one vector
+    df = spark.createDataFrame([(f"v{i:04d}", [float(c) for c in v]) for i, v in enumerate(x)], "id string, v array<double>")
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    got = {(int(r.id[1:]), int(r.other_id[1:])) for r in similar.most_similar(df, dim=16).collect()}
+    want = {(i, int(j)) for i in range(len(u)) for j in np.argsort(-s[i])[:5]}
+    assert len(got & want) >= 0.9 * len(want)
+
+
 def test_best_fit_never_overfills():
     rng = random.Random(6)
     p = packing.BestFit(100, 4)
