@@ -152,9 +152,9 @@ def _vote_batches(lexicon: dict[str, int], priors: dict[str, list[int]], k: int)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            columns = [b.column(c).to_pylist() for c in ("text", "title", "address", "source", "subjects")]
-            for text, title, address, source, labels in zip(*columns):
-                out.append(votes(text, title or "", address or "", priors.get(source, []), labels, lexicon, k))
+            columns = [b.column(c).to_pylist() for c in ("text", "title", "address", "source")]
+            for text, title, address, source in zip(*columns):
+                out.append(votes(text, title or "", address or "", priors.get(source, []), None, lexicon, k))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, pa.list_(pa.int32()))], names=["doc_id", "votes"])
 
     return run
@@ -198,10 +198,13 @@ def subject_posteriors(documents: DataFrame, areas: DataFrame, labels: DataFrame
         lexicon = _lexicon(docs.select("text").mapInArrow(_count_batches(k, lexicon), "word string, c array<double>"), k) if lexicon else {}
     if not lexicon:
         return spark.createDataFrame([], documents.select("doc_id").schema.add("subject", "string").add("posterior", "double"))
-    priors = _priors(docs, fit, k)
-    rows = docs.join(F.broadcast(fit), "doc_id", "left")
+    priors = _priors(docs, labelled, k)
     id_type = documents.schema["doc_id"].dataType.simpleString()
-    voted = materialise(rows.mapInArrow(_vote_batches(lexicon, priors, k), f"doc_id {id_type}, votes array<int>"), "subject-votes")
+    voted = docs.mapInArrow(_vote_batches(lexicon, priors, k), f"doc_id {id_type}, votes array<int>")
+    # the label is the last digit of a pattern: every label joins the votes, not the texts
+    given = F.transform("votes", lambda v, i: v + F.when(F.array_contains("subjects", i), 1).otherwise(-1))
+    voted = voted.join(labelled, "doc_id", "left").select("doc_id", F.when(F.col("subjects").isNull(), F.col("votes")).otherwise(given).alias("votes"))
+    voted = materialise(voted, "subject-votes")
     flat = voted.select("doc_id", F.posexplode("votes").alias("s", "pattern"))
     patterns = {r[0]: r[1] for r in flat.groupBy("pattern").count().collect()}  # at most 3**7 rows
     post = learn_accuracies(patterns)
@@ -211,9 +214,9 @@ def subject_posteriors(documents: DataFrame, areas: DataFrame, labels: DataFrame
     )
 
 
-def _priors(docs: DataFrame, fit: DataFrame, k: int) -> dict[str, list[int]]:
+def _priors(docs: DataFrame, labelled: DataFrame, k: int) -> dict[str, list[int]]:
     """Subjects that a source's labelled documents name at least twice as often as all do."""
-    rows = docs.join(F.broadcast(fit), "doc_id").select("source", F.explode("subjects").alias("s")).where("source is not null").groupBy("source", "s").count().orderBy(F.desc("count"), "source", "s").limit(10_000).collect()
+    rows = docs.select("doc_id", "source").join(labelled, "doc_id").select("source", F.explode("subjects").alias("s")).where("source is not null").groupBy("source", "s").count().orderBy(F.desc("count"), "source", "s").limit(10_000).collect()
     whole = Counter()
     by: dict[str, Counter] = {}
     for source, s, n in rows:

@@ -173,3 +173,18 @@ def test_subjects(spark):
     assert all(got[i] == {("law", "sport")[i % 2]} for i in range(60))
     assert got[100] == {"law", "sport"} and 101 not in got and 102 not in got and 103 not in got
     assert subjects.subject_posteriors(d, areas, labels.limit(0)).count() == 0
+
+
+def test_every_label_votes(spark, monkeypatch):
+    docs = [(i, ("court judge clause verdict. judge verdict court. ", "goal match league coach. match coach goal. ")[i % 2] * 3, None, ("x", "y")[i % 2], None, None) for i in range(60)]
+    d = spark.createDataFrame(docs, "doc_id long, text string, title string, source string, source_path string, name string")
+    areas = spark.createDataFrame([("law",), ("sport",)], "subject string")
+    labels = spark.createDataFrame([(i, ("law", "sport")[i % 2]) for i in range(40)], "doc_id long, subject string")
+    seen = []
+    learn = subjects.learn_accuracies
+    monkeypatch.setattr(subjects, "MAX_LABELS", 12)
+    monkeypatch.setattr(subjects, "learn_accuracies", lambda p: seen.append(p) or learn(p))
+    assert subjects.subject_posteriors(d, areas, labels).count() >= 60
+    digit = [sum(n for c, n in seen[0].items() if c % 3 == v) for v in range(3)]
+    assert digit == [40, 40, 40]  # against, unlabelled, for
+    assert sum(n for c, n in seen[0].items() if c // 3 % 3 == 2) == 60  # the source prior, from 20 labels a source
