@@ -3,22 +3,25 @@
 Two records belong together when at least ``threshold`` of the distinct
 word sequences found in either are found in both (Jaccard).
 
-1. *Records.*  Each text becomes a set of word-sequence hashes, from it an exact set
-   key ``k`` (equal sets are one class), a 512-bit token bitmap and ``BANDS``
-   routing keys, each mixed from ``ROWS`` minimum hashes.
-2. *Forest.*  Records that share a routing key form one signature tree.  Two
-   records of similarity s share none with probability (1 - s**4)**48: 1 in
-   800 at 0.60, under 1 in 20,000 at 0.65.
-3. *Dual traversal.*  Tree nodes hold the OR of their records' bitmaps, the range of
-   set sizes and the largest number of colliding tokens.  A pair of nodes is
-   dropped when even the largest overlap these allow stays under the
-   threshold; what survives to the leaves is tested on the records' own
-   bitmaps.  All bounds are exact upper bounds, so pruning loses nothing.
-4. *Exact check* of the surviving pairs on full sets, then expansion to ids.
-
-Routing keys of huge groups (found on a consistent sample, at most 1,000) are
-split into block pairs, each its own tree task.  Classes of equal sets are
-expanded into all their pairs up to ``expand`` members; larger ones come out as
+1. *Records.*  Each text becomes its set of word-sequence hashes (tokens) and an exact set
+   key ``k``; equal sets are one class.
+2. *Token order.*  A count table of ``2**b`` cells, filled from the tokens of all
+   records, orders tokens from rare to frequent (ties by hash).  The order steers the work only; any
+   order gives the same result.
+3. *Forest.*  Two records of the wanted similarity share at least one of their
+   ``n - ceil(threshold * n) + 1`` rarest tokens each, so only these are indexed.  A
+   range of token hashes is one signature tree; a record has an entry in the trees of its
+   rare tokens.  Nothing is lost: no bands, no probabilities.
+4. *Dual traversal.*  A node holds the OR of its entries' token bitmaps, the range
+   of their set sizes and the largest number of tokens that follow the indexed
+   one (itself included).  Two nodes without a common bit share no token; else
+   their overlap is at most the smaller of these numbers.  A pair of nodes is dropped when
+   that bound stays under the threshold for the sizes in range.  Bits lie in
+   token order, so a node covers few bits and does not saturate.
+5. *Exact check* of the surviving pairs on full sets, then expansion to ids.
+
+Tokens whose count exceeds ``HOT_GROUP`` are split into block pairs, each its own
+tree task.  Classes of equal sets are expanded into all their pairs up to ``expand`` members; larger ones come out as
 pairs with their representative, so nothing is lost and nothing is quadratic.
 
 Defined results: null texts and texts under ``min_words`` words are left out;
@@ -28,6 +31,7 @@ of both; a null id is left out.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,16 +40,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions.keys import HOT_KEYS, join_verdicts
+from corpusloom.functions.keys import join_verdicts
 from corpusloom.sources.tables import materialise
 
-ROWS, BANDS, BITS = 4, 48, 512
+BITS = 2048
 LEAF, FAN = 8, 8
-#: Estimated group size from which a routing key is split into blocks of about this many records.
-HOT_GROUP = 20_000
+#: Rows of one tree, and the count from which a token is split into blocks of about this many records.
+TREE_ROWS, HOT_GROUP = 60_000, 20_000
+#: Cells of the count table: one for 16 tokens, between 2**16 and 2**26 (one byte each after scaling).
+LEAST_CELLS, MOST_CELLS = 16, 26
+SLICE = 1 << 16
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xFF51AFD7ED558CCD)]
-_A = np.random.default_rng(20_117).integers(1, 2**32, ROWS * BANDS, dtype=np.uint32) | np.uint32(1)
-_B = np.random.default_rng(20_118).integers(0, 2**32, ROWS * BANDS, dtype=np.uint32)
 
 
 class _Words(dict):
@@ -87,26 +92,7 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint64).view(np.int64)
 
 
-def describe(sets: list[np.ndarray], kinds: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Routing keys (len x BANDS, uint64) and bitmaps (len x BITS/8 bytes) of the sets."""
-    size = np.array([len(s) for s in sets])
-    flat = np.concatenate(sets)
-    off = np.r_[0, np.cumsum(size)[:-1]]
-    low = flat.astype(np.uint32)
-    keys = np.empty((len(sets), BANDS), np.uint64)
-    kind = np.array(kinds, np.uint64) * _M[3]  # records of different kinds never meet
-    for b in range(BANDS):
-        k = kind ^ np.uint64((b * 0x9E3779B97F4A7C15) & (2**64 - 1))
-        for r in range(b * ROWS, (b + 1) * ROWS):
-            k = (k ^ np.minimum.reduceat(low * _A[r] ^ _B[r], off)) * _M[1]
-            k ^= k >> np.uint64(32)
-        keys[:, b] = k * _M[2]
-    bits = np.zeros((len(sets), BITS), bool)
-    bits[np.repeat(np.arange(len(sets)), size), (flat >> np.uint64(40)) % np.uint64(BITS)] = True
-    return keys, np.packbits(bits, axis=1)
-
-
-_RECORD = "kind int, id string, k long, n int, sig binary, bands array<long>"
+_RECORD = "kind int, id string, k long, n int, s array<long>"
 
 
 def _record_batches(n: int, min_words: int):
@@ -114,70 +100,116 @@ def _record_batches(n: int, min_words: int):
         seen: set[int] = set()
         for b in batches:
             rows: list[tuple] = []
-            chars = 0
+            held = 0
             for kind, rid, text in zip(b.column("kind").to_pylist(), b.column("id").to_pylist(), b.column("text")):
                 s = shingles(text.as_py(), n, min_words)
                 if s is None:
                     continue
-                rows.append((kind, rid, s))
-                chars += len(s)
-                if chars > 300_000:
-                    yield _records(rows, seen)
-                    rows, chars = [], 0
+                k = _set_key(s, kind)
+                fresh = k not in seen  # equal sets of one task are written once
+                seen.add(k)
+                rows.append((kind, rid, k, len(s), s.view(np.int64) if fresh else None))
+                held += len(s)
+                if held > 300_000:
+                    yield _records(rows)
+                    rows, held = [], 0
             if rows:
-                yield _records(rows, seen)
+                yield _records(rows)
 
     return run
 
 
-def _records(rows: list[tuple], seen: set[int]) -> pa.RecordBatch:
-    ks = [_set_key(s, kind) for kind, _, s in rows]
-    fresh = []
-    for i, k in enumerate(ks):  # equal sets of one task are described once
-        if k not in seen:
-            seen.add(k)
-            fresh.append(i)
-    keys, sigs = describe([rows[i][2] for i in fresh], [rows[i][0] for i in fresh]) if fresh else (np.zeros((0, BANDS), np.uint64), np.zeros((0, BITS // 8), np.uint8))
-    at = {i: j for j, i in enumerate(fresh)}
-    band = _signed(keys).reshape(keys.shape) if len(fresh) else keys
+def _records(rows: list[tuple]) -> pa.RecordBatch:
+    kind, rid, k, n, s = zip(*rows)
     return pa.RecordBatch.from_arrays(
-        [
-            pa.array([r[0] for r in rows], pa.int32()),
-            pa.array([r[1] for r in rows], pa.string()),
-            pa.array(_signed(np.array(ks, np.uint64))),
-            pa.array([len(r[2]) for r in rows], pa.int32()),
-            pa.array([sigs[at[i]].tobytes() if i in at else None for i in range(len(rows))], pa.binary()),
-            pa.array([band[at[i]] if i in at else None for i in range(len(rows))], pa.list_(pa.int64())),
-        ],
-        names=["kind", "id", "k", "n", "sig", "bands"],
+        [pa.array(kind, pa.int32()), pa.array(rid, pa.string()), pa.array(_signed(np.array(k, np.uint64))), pa.array(n, pa.int32()), pa.array(s, pa.list_(pa.int64()))],
+        names=["kind", "id", "k", "n", "s"],
     )
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (band, k), the distinct ones of bands with two or more records."""
-    hb = hk = None
-    for b in _with_end(batches):
-        if b is None:
-            if hb is None:
-                return
-            band, k, last = hb, hk, True
-        else:
-            band, k, last = b.column("band").to_numpy(), b.column("k").to_numpy(), False
-            if hb is not None:
-                band, k = np.concatenate([hb, band]), np.concatenate([hk, k])
-        if not len(band):
-            continue
-        new = np.r_[True, (band[1:] != band[:-1]) | (k[1:] != k[:-1])]
-        band, k = band[new], k[new]
-        cut = len(band) if last else int(np.searchsorted(band, band[-1], "left"))
-        hb, hk = band[cut:], k[cut:]
-        band, k = band[:cut], k[:cut]
-        same = band[1:] == band[:-1]
-        keep = np.r_[False, same] | np.r_[same, False]
-        if keep.any():
-            yield pa.RecordBatch.from_arrays([pa.array(band[keep]), pa.array(k[keep])], names=["band", "k"])
-        if last:
-            return
+def _cells(tokens: np.ndarray, bits: int) -> np.ndarray:
+    return ((tokens * _M[1]) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _sets(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of all sets of a batch, and the sets' sizes."""
+    column = b.column("s")
+    return column.flatten().to_numpy().view(np.uint64), np.asarray(column.value_lengths(), np.int64)
+
+
+def _count_batches(bits: int):
+    """``(slice, counts)``: partial counts of the cells, in slices."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << bits, np.int64)
+        for b in batches:
+            np.add(total, np.bincount(_cells(_sets(b)[0], bits), minlength=1 << bits), out=total)
+        for i in range(0, len(total), SLICE):
+            if total[i : i + SLICE].any():
+                yield pa.RecordBatch.from_arrays([pa.array([i // SLICE], pa.int32()), pa.array([total[i : i + SLICE].astype(np.uint32).tobytes()], pa.binary())], names=["slice", "counts"])
+
+    return run
+
+
+def _scaled_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(slice, scaled)``: full counts of each slice, on a logarithmic scale of one byte (eighths of a doubling)."""
+    total: dict[int, np.ndarray] = {}
+    for b in batches:
+        for i, c in zip(b.column("slice").to_pylist(), b.column("counts").to_pylist()):
+            total[i] = total.get(i, 0) + np.frombuffer(c, np.uint32).astype(np.int64)
+    rows = [(i, np.minimum(255, np.ceil(8 * np.log2(c + 1.0))).astype(np.uint8).tobytes()) for i, c in total.items()]
+    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["slice", "scaled"])
+
+
+def token_counts(records: DataFrame) -> tuple[int, np.ndarray]:
+    """Bits of a cell number and the scaled counts: at most ``2**MOST_CELLS`` bytes at any input size."""
+    tokens = records.agg(F.sum(F.size("s"))).first()[0] or 0
+    bits = min(MOST_CELLS, max(LEAST_CELLS, (tokens // 16).bit_length()))
+    out = np.zeros(1 << bits, np.uint8)
+    parts = records.select("s").mapInArrow(_count_batches(bits), "slice int, counts binary").repartition("slice")
+    for i, c in parts.mapInArrow(_scaled_batches, "slice int, scaled binary").collect():
+        out[i * SLICE : (i + 1) * SLICE] = np.frombuffer(c, np.uint8)
+    return bits, out
+
+
+def prefix_length(n: np.ndarray, t: float) -> np.ndarray:
+    """How many of its rarest tokens a set must offer so that no partner is missed."""
+    return n - np.ceil(t * n - 1e-9).astype(np.int64) + 1
+
+
+def _prefix_batches(shared, bits: int, t: float, hot: int):
+    """``(token, k, n, rest, part)``: the rarest tokens of each set; ``rest`` counts the tokens from this one on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = shared.value
+        for b in batches:
+            tokens, size = _sets(b)
+            if not len(tokens):
+                continue
+            # records of different kinds never meet; their tokens are counted together
+            kind = np.repeat(b.column("kind").to_numpy().astype(np.uint64), size)
+            level = count[_cells(tokens, bits)]
+            owner = np.repeat(np.arange(len(size)), size)
+            order = np.lexsort((tokens, level, owner))
+            start = np.repeat(np.r_[0, np.cumsum(size)[:-1]], size)
+            place = np.arange(len(tokens)) - start
+            first = place < np.repeat(prefix_length(size, t), size)
+            at, place = order[first], place[first]
+            owner = owner[at]
+            blocks = np.ceil(np.exp2(level[at] / 8.0) / hot).astype(np.int64)
+            k = b.column("k").to_numpy()[owner]
+            mine = np.where(blocks > 1, (k.view(np.uint64) >> np.uint64(20)).astype(np.int64) % np.maximum(blocks, 1), 0)
+            # a block meets every block: part = the pair of block numbers
+            copies = np.repeat(np.arange(len(at)), blocks)
+            other = np.arange(len(copies)) - np.repeat(np.r_[0, np.cumsum(blocks)[:-1]], blocks)
+            part = np.minimum(mine[copies], other) * blocks[copies] + np.maximum(mine[copies], other)
+            token = (tokens[at] ^ kind[at] * _M[3])[copies]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(token.view(np.int64)), pa.array(k[copies]), pa.array(size[owner][copies].astype(np.int32)), pa.array((size[owner] - place)[copies].astype(np.int32)), pa.array(part.astype(np.int32))],
+                names=["token", "k", "n", "rest", "part"],
+            )
+
+    return run
 
 
 def _with_end(batches: Iterator):
@@ -185,49 +217,48 @@ def _with_end(batches: Iterator):
     yield None
 
 
-def _popcount(x: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x).sum(axis=1, dtype=np.int64)
-
-
 def _enough(overlap: np.ndarray, na: np.ndarray, nb: np.ndarray, t: float) -> np.ndarray:
     return overlap * (1 + t) >= t * (na + nb) - 1e-9
 
 
-def possible(n: np.ndarray, sig: np.ndarray, a: np.ndarray, b: np.ndarray, t: float) -> np.ndarray:
-    """Which of the pairs (a, b) may reach *t*: no shared token can lie on a bit that only one side has."""
-    sa, sb = sig[a], sig[b]
-    both = np.minimum(n[a] - _popcount(sa & ~sb), n[b] - _popcount(sb & ~sa))
-    return _enough(both, n[a], n[b], t)
-
-
 class SignatureTree:
-    """Records packed bottom-up, by size and bitmap, into nodes of OR-ed bitmaps and size ranges."""
-
-    def __init__(self, n: np.ndarray, sig: np.ndarray) -> None:
-        self.order = np.lexsort((sig[:, 0], n))
-        self.n, self.sig = n[self.order], sig[self.order]
-        self.levels = []
-        lo, hi, bits, more, fan = self.n, self.n, self.sig, self.n - _popcount(self.sig), LEAF
-        while True:
-            off = np.arange(0, len(lo), fan)
-            lo, hi = np.minimum.reduceat(lo, off), np.maximum.reduceat(hi, off)
-            bits, more = np.bitwise_or.reduceat(bits, off, axis=0), np.maximum.reduceat(more, off)
-            self.levels.append((lo, hi, bits, more))
-            if len(lo) <= FAN:
-                break
-            fan = FAN
+    """Entries (token, size, rest) packed bottom-up, in token order, into nodes of OR-ed bitmaps, size ranges and largest rests."""
+
+    def __init__(self, token: np.ndarray, n: np.ndarray, rest: np.ndarray) -> None:
+        self.order = np.lexsort((n, token))
+        self.token, self.n, self.rest = token[self.order], n[self.order], rest[self.order]
+        rank = np.cumsum(np.r_[True, self.token[1:] != self.token[:-1]]) - 1
+        bit = rank * BITS // (rank[-1] + 1)
+        bits = np.zeros((-(-len(bit) // LEAF), BITS // 64), np.uint64)
+        np.bitwise_or.at(bits, (np.arange(len(bit)) // LEAF, bit // 64), np.uint64(1) << (bit % 64).astype(np.uint64))
+        off = np.arange(0, len(bit), LEAF)
+        lo, hi, most = np.minimum.reduceat(self.n, off), np.maximum.reduceat(self.n, off), np.maximum.reduceat(self.rest, off)
+        self.levels = [(lo, hi, most, bits)]
+        while len(lo) > FAN:
+            off = np.arange(0, len(lo), FAN)
+            lo, hi, most = np.minimum.reduceat(lo, off), np.maximum.reduceat(hi, off), np.maximum.reduceat(most, off)
+            bits = np.bitwise_or.reduceat(bits, off, axis=0)
+            self.levels.append((lo, hi, most, bits))
+        self.tested = np.zeros(len(self.levels) + 1, np.int64)
+        self.kept = np.zeros(len(self.levels) + 1, np.int64)
 
     def pairs(self, t: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Dual traversal: index pairs (into the input) that may reach *t*."""
+        """Dual traversal: index pairs (into the input) of entries with the same token that may reach *t*.
+
+        ``tested`` and ``kept`` count the pairs of each level (0: entries, 1: leaves, ...).
+        """
         top = len(self.levels) - 1
         a, b = np.triu_indices(len(self.levels[top][0]))
         stack = [(top, a, b)]
         while stack:
             level, a, b = stack.pop()
-            lo, hi, bits, more = self.levels[level]
-            most = np.minimum(_popcount(bits[a] & bits[b]) + np.minimum(more[a], more[b]), np.minimum(hi[a], hi[b]))
-            ok = _enough(most, lo[a], lo[b], t) & (lo[a] * t <= hi[b]) & (lo[b] * t <= hi[a])
+            lo, hi, most, bits = self.levels[level]
+            ok = _enough(np.minimum(most[a], most[b]), lo[a], lo[b], t) & (lo[a] * t <= hi[b] + 1e-9) & (lo[b] * t <= hi[a] + 1e-9)
+            self.tested[level + 1] += len(a)
+            a, b = a[ok], b[ok]
+            ok = (bits[a] & bits[b]).any(axis=1)
             a, b = a[ok], b[ok]
+            self.kept[level + 1] += len(a)
             below, fan = (len(self.levels[level - 1][0]), FAN) if level else (len(self.n), LEAF)
             for i in range(0, len(a), 2048):
                 x = (a[i : i + 2048, None] * fan + np.repeat(np.arange(fan), fan)).ravel()
@@ -236,112 +267,99 @@ class SignatureTree:
                 x, y = x[ok], y[ok]
                 if level:
                     stack.append((level - 1, x, y))
-                else:
-                    ok = possible(self.n, self.sig, x, y, t)
-                    if ok.any():
-                        yield self.order[x[ok]], self.order[y[ok]]
+                    continue
+                self.tested[0] += len(x)
+                ok = self.token[x] == self.token[y]
+                x, y = x[ok], y[ok]
+                ok = _enough(np.minimum(self.rest[x], self.rest[y]), self.n[x], self.n[y], t)
+                self.kept[0] += int(ok.sum())
+                if ok.any():
+                    yield self.order[x[ok]], self.order[y[ok]]
 
 
-def _tree_batches(t: float):
-    """Candidates of each group of rows sorted by (band, part); groups may span batches."""
+def _tree_batches(t: float, report: bool = False):
+    """Candidates of each tree (rows sorted by tree and part; trees may span batches), or the traversal's counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
+        held: list[pa.RecordBatch] = []
         for b in _with_end(batches):
             if b is not None:
-                held = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
-                if held.num_rows < 10_000:
+                held.append(b)
+                if sum(x.num_rows for x in held) < TREE_ROWS:
                     continue
-            if held is None or not held.num_rows:
+            if not held:
                 return
-            g = held.column("band").to_numpy() * np.int64(1_000_003) + held.column("part").to_numpy()
-            change = np.flatnonzero(g[1:] != g[:-1]) + 1
-            cut = held.num_rows if b is None else int(change[-1]) if len(change) else 0
-            if cut:
-                yield from _groups(held.slice(0, cut), g[:cut], t)
-                held = held.slice(cut)
+            rows = pa.Table.from_batches(held)
+            tree, part = rows.column("tree").to_numpy(), rows.column("part").to_numpy()
+            change = np.flatnonzero((tree[1:] != tree[:-1]) | (part[1:] != part[:-1])) + 1
+            ends = [*change.tolist(), *([len(tree)] if b is None else [])]
+            start = 0
+            for e in ends:
+                yield from _grow(rows.slice(start, e - start), t, report)
+                start = e
+            held = rows.slice(start).to_batches()
             if b is None:
                 return
 
     return run
 
 
-def _groups(rows: pa.Table, g: np.ndarray, t: float) -> Iterator[pa.RecordBatch]:
-    k, n = rows.column("k").to_numpy(), rows.column("n").to_numpy().astype(np.int64)
-    sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint64).reshape(len(k), BITS // 64)
-    start = np.r_[0, np.flatnonzero(g[1:] != g[:-1]) + 1, len(g)]
-    size = np.diff(start)
-    small = np.repeat(size <= LEAF, size)
-    for d in range(1, LEAF):  # trees of a single leaf, all at once
-        a = np.flatnonzero((g[d:] == g[:-d]) & small[:-d]) if len(g) > d else np.zeros(0, int)
-        a = a[possible(n, sig, a, a + d, t)] if len(a) else a
-        if len(a):
-            yield _pairs(k[a], k[a + d])
-    for i in np.flatnonzero(size > LEAF):
-        s, e = start[i], start[i + 1]
-        for a, b in SignatureTree(n[s:e], sig[s:e]).pairs(t):
-            yield _pairs(k[s + a], k[s + b])
-
-
-def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    ok = a != b
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[ok]), pa.array(np.maximum(a, b)[ok])], names=["ka", "kb"])
-
-
-def _set_batches(n: int, min_words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ks, sets = [], []
-            for kind, text in zip(b.column("kind").to_pylist(), b.column("text")):
-                s = shingles(text.as_py(), n, min_words)
-                if s is not None:
-                    ks.append(_set_key(s, kind))
-                    sets.append(s.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(_signed(np.array(ks, np.uint64))), pa.array(sets, pa.list_(pa.int64()))], names=["k", "s"])
-
-    return run
-
-
-def _spread(bands: DataFrame) -> DataFrame:
-    """Adds ``part``: 0, or for a hot routing key one of its block pairs (rows are copied to each)."""
-    hot = (
-        bands.where(F.pmod("k", F.lit(64)) == 0)
-        .groupBy("band")
-        .agg((F.count(F.lit(1)) * 64).alias("size"))
-        .orderBy(F.col("size").desc(), "band")
-        .limit(HOT_KEYS)
-        .where(F.col("size") > HOT_GROUP)
-        .select("band", F.ceil(F.col("size") / HOT_GROUP).cast("int").alias("blocks"))
-    )
-    own = F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int")
-    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least(own, j) * F.col("blocks") + F.greatest(own, j))
-    return bands.join(F.broadcast(hot), "band", "left").select("band", "k", "n", "sig", F.explode(F.coalesce(others, F.array(F.lit(0)))).alias("part"))
+def _grow(rows: pa.Table, t: float, report: bool) -> Iterator[pa.RecordBatch]:
+    token, k = rows.column("token").to_numpy(), rows.column("k").to_numpy()
+    order = np.lexsort((k, token))
+    token, k = token[order], k[order]
+    new = np.r_[True, (token[1:] != token[:-1]) | (k[1:] != k[:-1])]  # one class written by several tasks
+    token, k, order = token[new], k[new], order[new]
+    same = token[1:] == token[:-1]
+    keep = np.r_[False, same] | np.r_[same, False]
+    if not keep.any():
+        return
+    token, k, order = token[keep], k[keep], order[keep]
+    tree = SignatureTree(token, rows.column("n").to_numpy()[order].astype(np.int64), rows.column("rest").to_numpy()[order].astype(np.int64))
+    for a, b in tree.pairs(t):
+        if not report:
+            lo, hi = np.minimum(k[a], k[b]), np.maximum(k[a], k[b])
+            yield pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi)], names=["ka", "kb"])
+    if report:
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(tree.tested), dtype=np.int32)), pa.array(tree.tested), pa.array(tree.kept)], names=["level", "tested", "kept"])
 
 
 class NearDuplicates:
     """Pairs and classes of near-duplicate records of ``texts(kind int, id string, text string)``."""
 
-    def __init__(self, texts: DataFrame, words: int = 3, threshold: float = 0.6, min_words: int = 20) -> None:
+    def __init__(self, texts: DataFrame, words: int = 3, threshold: float = 0.6, min_words: int = 20, tree_rows: int = TREE_ROWS, hot_group: int = HOT_GROUP) -> None:
         self.texts = texts.where("id is not null and text is not null")
         self.words, self.threshold, self.min_words = words, threshold, min_words
+        self.tree_rows, self.hot_group = tree_rows, hot_group
         self.records = materialise(self.texts.mapInArrow(_record_batches(words, min_words), _RECORD), "dup-records")
 
+    def _trees(self) -> DataFrame:
+        """``(tree, part, token, k, n, rest)``, each tree and part in one task."""
+        sets = self.records.where("s is not null")
+        bits, counts = token_counts(sets)
+        shared = sets.sparkSession.sparkContext.broadcast(counts)
+        entries = sets.select("kind", "k", "s").mapInArrow(_prefix_batches(shared, bits, self.threshold, self.hot_group), "token long, k long, n int, rest int, part int")
+        rows = sets.agg(F.sum(F.size("s") - F.ceil(F.size("s") * self.threshold) + 1)).first()[0] or 0
+        trees = max(1, math.ceil(rows / self.tree_rows))
+        tree = F.pmod(F.xxhash64("token"), F.lit(trees)).cast("int")
+        # a hot token has its own tree tasks, one a pair of blocks
+        return entries.withColumn("tree", tree).repartition("tree", "part").sortWithinPartitions("tree", "part")
+
     def candidates(self) -> DataFrame:
         """``(ka, kb)``: pairs of classes that the trees could not rule out."""
-        own = self.records.where("sig is not null")
-        bands = own.select(F.explode("bands").alias("band"), "k")
-        shared = bands.repartition("band").sortWithinPartitions("band", "k").mapInArrow(_shared, "band long, k long")
-        signed = shared.join(own.select("k", "n", "sig").dropDuplicates(["k"]), "k")
-        groups = _spread(materialise(signed, "dup-groups")).repartition("band", "part").sortWithinPartitions("band", "part", "k")
-        return groups.mapInArrow(_tree_batches(self.threshold), "ka long, kb long").distinct()
+        return self._trees().mapInArrow(_tree_batches(self.threshold), "ka long, kb long").distinct()
+
+    def pruning(self) -> DataFrame:
+        """``(level, tested, kept)`` of the dual traversal (level 0: entries, 1: leaves, ...)."""
+        counts = self._trees().mapInArrow(_tree_batches(self.threshold, True), "level int, tested long, kept long")
+        return counts.groupBy("level").agg(F.sum("tested").alias("tested"), F.sum("kept").alias("kept"))
 
     def class_pairs(self) -> DataFrame:
         """``(ka, kb, similarity)`` of different classes, checked on their full sets."""
         cand = materialise(self.candidates(), "dup-candidates")
         asked = cand.select(F.explode(F.array("ka", "kb")).alias("k")).distinct()
-        reps = self.records.join(asked, "k", "left_semi").groupBy("k").agg(F.min(F.struct("kind", "id")).alias("r")).select("k", "r.kind", "r.id")
-        texts = self.texts.join(reps.select("kind", "id").distinct(), ["kind", "id"], "left_semi")
-        sets = materialise(texts.mapInArrow(_set_batches(self.words, self.min_words), "k long, s array<long>").dropDuplicates(["k"]), "dup-sets")
+        sets = self.records.where("s is not null").select("k", "s").join(asked, "k", "left_semi").dropDuplicates(["k"])
+        sets = materialise(sets, "dup-sets")
         both = F.size(F.array_intersect("sa", "sb"))
         return (
             cand.join(sets.select(F.col("k").alias("ka"), F.col("s").alias("sa")), "ka")
@@ -370,6 +388,42 @@ class NearDuplicates:
         every = between.unionByName(within).unionByName(star).where("ia <> ib")
         return every.select("kind", F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b")).distinct()
 
+    def groups(self) -> DataFrame:
+        """``(kind, id, group_id, members)``: connected groups of two or more records; ``group_id`` is the smallest id."""
+        members = materialise(self.members(), "dup-members")
+        label = connected(self.class_pairs().select("ka", "kb"))
+        classes = members.groupBy("k").agg(F.first("size").alias("size"), F.first("rep").alias("rep"))
+        classes = materialise(classes.join(label, "k", "left").select("k", "size", "rep", F.coalesce("root", "k").alias("root")), "dup-classes")
+        whole = classes.groupBy("root").agg(F.sum("size").alias("members"), F.min("rep").alias("group_id")).where("members > 1")
+        verdict = classes.join(whole, "root").select("k", "size", "group_id", "members")
+        return join_verdicts(members.select("kind", "id", "k"), verdict, ["k"], "size").select("kind", "id", "group_id", "members").distinct()
+
+
+def connected(edges: DataFrame) -> DataFrame:
+    """``(k, root)`` of every node of ``edges(ka, kb)``: the smallest key of its component.
+
+    Alternates the large-star and the small-star step until nothing changes, so a
+    component of n nodes takes about log(n) rounds and no task holds one;
+    labels and links stay in tables of the shared folder.
+    """
+    e = materialise(edges.select(F.greatest("ka", "kb").alias("a"), F.least("ka", "kb").alias("b")).where("a <> b").distinct(), "dup-edges")
+    while True:
+        both = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        # large star: larger neighbours hang on the least one
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        lower = large.where("b < a")
+        low = lower.groupBy("a").agg(F.min("b").alias("m"))
+        # small star: smaller neighbours and the node itself hang on the least one
+        small = lower.join(low, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        new = materialise(small, "dup-edges")
+        changed = new.exceptAll(e).limit(1).count() or e.exceptAll(new).limit(1).count()
+        e = new
+        if not changed:
+            break
+    roots = e.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("k"), "root")
+    return roots.unionByName(roots.select(F.col("root").alias("k"), "root").distinct())
+
 
 def corpus_texts(documents: DataFrame, chunks: DataFrame) -> DataFrame:
     """Documents (kind 0, raw_markdown) and chunks (kind 1, content)."""

@@ -45,6 +45,15 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return _duplicates(spark, d).pairs().select(kind.alias("rec_kind"), "id_a", "id_b")
 
 
+def p5_groups(spark: SparkSession, d: str) -> DataFrame:
+    kind = F.when(F.col("kind") == 0, "document").otherwise("chunk")
+    return _duplicates(spark, d).groups().select(kind.alias("rec_kind"), "id", "group_id", "members")
+
+
+def p5_pruning(spark: SparkSession, d: str) -> DataFrame:
+    return _duplicates(spark, d).pruning()
+
+
 def p6_pack(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_documents(table(spark, d, "documents"), table(spark, d, "token_budgets"))
 
@@ -86,6 +95,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p4_found": p4_found,
         "p4_repaired": p4_repaired,
         "p5_found": p5_found,
+        "p5_groups": p5_groups,
+        "p5_pruning": p5_pruning,
         "p6_pack": p6_pack,
         "p6_report": p6_report,
         "p7_mix": p7_mix,

@@ -38,25 +38,43 @@ def test_split_covers_pieces_that_advance_little(spark):
 
 def test_tree_loses_no_pair():
     rng = np.random.default_rng(3)
-    sets = []
-    for _ in range(60):
-        base = rng.integers(0, 2**63, rng.integers(20, 80)).astype(np.uint64)
-        for _ in range(4):
-            keep = base[rng.random(len(base)) < 0.9]
-            sets.append(np.unique(np.concatenate([keep, rng.integers(0, 2**63, 3).astype(np.uint64)])))
-    _, bits = neardup.describe(sets, [0] * len(sets))
-    n, sig = np.array([len(s) for s in sets]), bits.view(np.uint64)
-    found = {(min(a, b), max(a, b)) for x, y in neardup.SignatureTree(n, sig).pairs(0.6) for a, b in zip(x.tolist(), y.tolist())}
-    real = set()
-    for i in range(len(sets)):
-        for j in range(i + 1, len(sets)):
-            c = len(np.intersect1d(sets[i], sets[j]))
-            if c >= 0.6 * (len(sets[i]) + len(sets[j]) - c):
-                real.add((i, j))
-    assert real and real <= found and len(found) < 0.2 * len(sets) ** 2
-
-
-def test_near_duplicates(spark):
+    token = rng.integers(0, 90, 700)
+    n = rng.integers(10, 60, 700)
+    rest = np.minimum(n, rng.integers(5, 60, 700))
+    tree = neardup.SignatureTree(token, n, rest)
+    found = {(min(a, b), max(a, b)) for x, y in tree.pairs(0.6) for a, b in zip(x.tolist(), y.tolist())}
+    real = {(i, j) for i in range(700) for j in range(i + 1, 700) if token[i] == token[j] and min(rest[i], rest[j]) * 1.6 >= 0.6 * (n[i] + n[j]) - 1e-9}
+    assert real and found == real
+    assert tree.kept[1] < 0.5 * tree.tested[1] and tree.tested[0] < 700 * 699 / 2
+
+
+@pytest.mark.parametrize("tree_rows, hot", [(50, 4), (60_000, 20_000)])
+def test_near_duplicates_equal_brute_force(spark, tree_rows, hot):
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(400)]
+    rows = []
+    for i in range(12):
+        base = [rng.choice(words) for _ in range(rng.randint(20, 70))]
+        for j in range(6):
+            edit = list(base)
+            for _ in range(rng.randint(0, 7)):
+                edit[rng.randrange(len(edit))] = rng.choice(words)
+            rows.append((i % 2, f"r{i}_{j}", " ".join(edit)))
+    sets = [(k, i, {tuple(t.split()[x : x + 3]) for x in range(len(t.split()) - 2)}) for k, i, t in rows]
+    want = {(a[0], a[1], b[1]) for a in sets for b in sets if a[0] == b[0] and a[1] < b[1] and len(a[2] & b[2]) >= 0.6 * len(a[2] | b[2])}
+    found = neardup.NearDuplicates(spark.createDataFrame(rows, "kind int, id string, text string"), tree_rows=tree_rows, hot_group=hot)
+    assert want and {tuple(r) for r in found.pairs().collect()} == want
+    root = {(k, i): i for k, i, _ in rows}
+    for _ in rows:
+        for k, a, b in want:
+            root[k, a] = root[k, b] = min(root[k, a], root[k, b])
+    size = {}
+    for (k, _), r in root.items():
+        size[k, r] = size.get((k, r), 0) + 1
+    assert {tuple(r) for r in found.groups().collect()} == {(k, i, r, size[k, r]) for (k, i), r in root.items() if size[k, r] > 1}
+
+
+def test_near_duplicates_edges(spark):
     rng = random.Random(2)
     words = [f"w{i}" for i in range(3000)]
     base = [rng.choice(words) for _ in range(80)]
@@ -65,6 +83,7 @@ def test_near_duplicates(spark):
     texts = spark.createDataFrame(rows, "kind int, id string, text string")
     assert {tuple(r) for r in neardup.NearDuplicates(texts).pairs().collect()} == {(0, "a", "b"), (0, "a", "c"), (0, "b", "c")}
     assert {tuple(r) for r in neardup.NearDuplicates(texts).pairs(expand=1).collect()} >= {(0, "a", "c"), (0, "a", "b")}
+    assert {tuple(r) for r in neardup.NearDuplicates(texts).groups().collect()} == {(0, i, "a", 3) for i in "abc"}
     assert neardup.NearDuplicates(texts.limit(0)).pairs().count() == 0
 
 
