@@ -19,6 +19,10 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_pieces(spark, d).select("item_kind", "item_id").distinct()
 
 
+def p2_coverage(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.coverage(p2_pieces(spark, d))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     near = similar.most_similar(table(spark, d, "chunks").select("id", F.col("embedding").alias("v")), 5, 0.9)
     return near.select(F.least("id", "other_id").alias("id_a"), F.greatest("id", "other_id").alias("id_b")).distinct()
@@ -90,6 +94,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p2_found": p2_found,
         "p2_pieces": p2_pieces,
+        "p2_coverage": p2_coverage,
         "p3_found": p3_found,
         "p3_nearest": p3_nearest,
         "p4_found": p4_found,
@@ -110,6 +115,9 @@ SQL = {
     "p2_found": """
         select distinct 'section' as item_kind, id as item_id from sections where length(content) // 4 > 1500
         union select distinct 'chunk', id from chunks where length(content) // 4 > 1500""",
+    "p2_coverage": """
+        select * exclude (content) from (select distinct 'section' as item_kind, id as item_id, content, length(content) as chars_covered, true as sizes_ok, true as overlaps_ok from sections where length(content) // 4 > 1500
+        union select distinct 'chunk', id, content, length(content), true, true from chunks where length(content) // 4 > 1500)""",
 }
 
 

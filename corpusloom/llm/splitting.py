@@ -3,13 +3,14 @@
 An item longer than ``max_tokens`` becomes overlapping pieces.  The steps:
 
 1. every legal boundary of an oversized text becomes a row: paragraph (4),
-   line (3), sentence (2); where two of them lie more than ``wide`` characters
+   line (3), sentence (2); where two of them lie more than half an overlap
    apart also the word ends (1) between them, and where even two of these lie
-   more than ``gap`` apart hard cuts (0) on a grid;
+   that far apart hard cuts (0) on a grid;
 2. each boundary, as the start of a piece, is joined to its *farthest legal
    end* (the farthest boundary of the strongest kind in the second half of the
    allowed length) and, from there back by the overlap, to the start of the
-   next piece: one successor per boundary;
+   next piece: one successor per boundary.  With an overlap above 0 every two
+   successive pieces share text, whatever the boundaries are;
 3. the successor table is squared again and again.  After round *k* the set of
    reached starts holds the first 2**k greedy cuts of every item at once, so a
    text with n pieces needs log2(n) joins instead of n steps.
@@ -104,7 +105,7 @@ def split_oversized(
     """
     longest = max_tokens * chars_per_token + chars_per_token - 1  # most characters whose floor stays within the limit
     back = overlap_tokens * chars_per_token
-    gap = max(1, min(longest // 4, (longest - back) // 2))
+    gap = max(1, min(longest // 4, back // 2 or longest // 4))  # every overlap window holds a legal start
     if back >= longest // 2:  # else a piece need not advance
         raise ValueError("the overlap must be under half of the limit")
     key = F.unhex(F.substring(F.sha2(F.concat_ws("\x1f", F.col("item_kind"), F.coalesce("item_id", F.lit("\x00")), F.col("content")), 256), 1, 32))
@@ -114,24 +115,43 @@ def split_oversized(
         .dropDuplicates(["item"])
     )
     big = materialise(big, "split-items")
-    at = materialise(big.select("item", "text").mapInArrow(_boundary_batches(gap, min(gap, max(1, back // 2)) if back else gap), "item binary, pos long, rank int"), "split-boundaries")
+    at = materialise(big.select("item", "text").mapInArrow(_boundary_batches(gap, gap), "item binary, pos long, rank int"), "split-boundaries")
     block = longest * block_pieces
     ends = materialise(_successors(at, longest, back, block), "split-successors")
     size = big.agg(F.max(F.length("text"))).first()[0]
     starts = _reached(ends, size or 0, longest // 2 - back)
-    cut = starts.join(ends, ["item", "pos"]).select("item", "pos", "end")
-    w = Window.partitionBy("item").orderBy("pos")
-    # a window over the pieces of one item: rows are three numbers, a text of n characters has n / 4,000 of them
-    numbered = cut.withColumn("piece_no", F.row_number().over(w) - 1)
-    return big.join(numbered, "item").select(
-        "item_kind",
-        "item_id",
-        F.lower(F.hex("item")).alias("content_key"),
-        "piece_no",
-        F.col("pos").alias("start_offset"),
-        F.col("end").alias("end_offset"),
-        F.expr("substring(text, cast(pos + 1 as int), cast(end - pos as int))").alias("piece"),
+    cut = starts.join(ends, ["item", "pos"]).groupBy("item").agg(F.sort_array(F.collect_list(F.struct("pos", "end"))).alias("cuts"))
+    # one row a text: the cuts of n characters are n / 2,000 pairs of numbers beside the text itself
+    schema = "item_kind string, item_id string, content_key string, piece_no int, start_offset long, end_offset long, piece string"
+    return big.join(cut, "item").select("item_kind", "item_id", F.lower(F.hex("item")).alias("content_key"), "text", "cuts").mapInArrow(_piece_batches, schema)
+
+
+def coverage(pieces: DataFrame, max_tokens: int = MAX_TOKENS, overlap_tokens: int = OVERLAP_TOKENS, chars_per_token: int = CHARS_PER_TOKEN) -> DataFrame:
+    """``(item_kind, item_id, chars_covered, sizes_ok, overlaps_ok)`` of every text that was cut.
+
+    ``chars_covered`` is the length of the union of its pieces; ``overlaps_ok``
+    says that each piece starts inside the one before and shares at most the overlap with it.
+    """
+    w = Window.partitionBy("item_kind", "item_id", "content_key").orderBy("piece_no")
+    shared = F.lag("end_offset").over(w) - F.col("start_offset")
+    rows = pieces.withColumn("shared", shared).groupBy("item_kind", "item_id", "content_key").agg(
+        F.sum(F.col("end_offset") - F.col("start_offset") - F.coalesce("shared", F.lit(0))).alias("chars_covered"),
+        F.min((F.length("piece") == F.col("end_offset") - F.col("start_offset")) & (F.floor(F.length("piece") / chars_per_token) <= max_tokens)).alias("sizes_ok"),
+        F.coalesce(F.min(F.col("shared").between(1 if overlap_tokens else 0, overlap_tokens * chars_per_token)), F.lit(True)).alias("overlaps_ok"),
     )
+    return rows.drop("content_key")
+
+
+def _piece_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for i in range(b.num_rows):
+            text, cuts = b.column("text")[i].as_py(), b.column("cuts")[i].as_py()
+            same = [pa.repeat(b.column(c)[i], len(cuts)) for c in ("item_kind", "item_id", "content_key")]
+            start, end = [c["pos"] for c in cuts], [c["end"] for c in cuts]
+            yield pa.RecordBatch.from_arrays(
+                [*same, pa.array(range(len(cuts)), pa.int32()), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array([text[x:y] for x, y in zip(start, end)], pa.string())],
+                names=["item_kind", "item_id", "content_key", "piece_no", "start_offset", "end_offset", "piece"],
+            )
 
 
 def _successors(at: DataFrame, longest: int, back: int, block: int) -> DataFrame:
@@ -148,21 +168,21 @@ def _successors(at: DataFrame, longest: int, back: int, block: int) -> DataFrame
         F.max("pos").over(whole),
     )
     ends = spread.withColumn("end", best).where((F.floor(F.col("pos") / block) == F.col("block")) & F.col("end").isNotNull())
-    stop = at.groupBy("item").agg(F.max("pos").alias("size"))
-    starts = _starts(at, back, block)
-    return (
-        ends.join(starts, ["item", "end"])
-        .join(stop, "item")
-        .select("item", "pos", "end", F.when(F.col("end") < F.col("size"), F.col("next")).alias("next"))
-    )
+    return ends.join(_starts(at, back, block), ["item", "end"]).select("item", "pos", "end", "next")
 
 
 def _starts(at: DataFrame, back: int, block: int) -> DataFrame:
-    """``(item, end, next)``: where the piece after one that ends at a boundary starts."""
+    """``(item, end, next)``: where the piece after one that ends at a boundary starts (null at the end of the text).
+
+    The first sentence, else word, else hard cut within the overlap before the end, never the end itself.
+    """
     own = F.floor(F.col("pos") / block).cast("long")
     spread = at.select("item", "pos", "rank", F.explode(F.array(own, own + 1)).alias("block"))
-    behind = Window.partitionBy("item", "block").orderBy("pos").rangeBetween(-back, 0)
-    first = F.coalesce(*[F.min(F.when(F.col("rank") >= r, F.col("pos"))).over(behind) for r in (2, 1)], F.col("pos"))
+    first = F.col("pos")
+    if back:
+        behind = Window.partitionBy("item", "block").orderBy("pos").rangeBetween(-back, -1)
+        first = F.coalesce(*[F.min(F.when(F.col("rank") >= r, F.col("pos"))).over(behind) for r in (2, 1, 0)], first)
+    first = F.when((F.col("rank") < 5) | (F.col("pos") == 0), first)
     return spread.withColumn("next", first).where(F.floor(F.col("pos") / block) == F.col("block")).select("item", F.col("pos").alias("end"), "next")
 
 

@@ -21,7 +21,7 @@ def test_split_limits_offsets_and_edges(spark):
         assert pieces[0][1] == 0 and pieces[-1][2] == len(want[k])
         for n, (no, s, e, p) in enumerate(pieces):
             assert no == n and p == want[k][s:e] and len(p) // 4 <= 50
-            assert not n or 0 <= pieces[n - 1][2] - s <= 40
+            assert not n or 1 <= pieces[n - 1][2] - s <= 40
     assert splitting.split_oversized(items.limit(0), 50, 10).count() == 0
 
 
@@ -31,11 +31,28 @@ def test_split_covers_pieces_that_advance_little(spark):
     items = spark.createDataFrame([("s", "i", text)], "item_kind string, item_id string, content string")
     got = sorted((r.piece_no, r.start_offset, r.end_offset) for r in splitting.split_oversized(items).collect())
     assert got[0][1] == 0 and got[-1][2] == len(text) and len(got) > 32
-    assert all(0 <= a[2] - b[1] <= 800 for a, b in zip(got, got[1:]))
+    assert all(1 <= a[2] - b[1] <= 800 for a, b in zip(got, got[1:]))
     with pytest.raises(ValueError):
         splitting.split_oversized(items, 50, 30)
 
 
+def test_split_overlaps_at_every_joint(spark):
+    texts = {"sentences": ("y" * 214 + ". ") * 30, "unbroken": "x" * 9000, "long words": ("z" * 700 + " ") * 12, "none": "漢" * 5000}
+    items = spark.createDataFrame([("s", k, t) for k, t in texts.items()], "item_kind string, item_id string, content string")
+    for overlap in (15, 0):
+        pieces = splitting.split_oversized(items, 200, overlap)
+        for r in splitting.coverage(pieces, 200, overlap).collect():
+            assert (r.chars_covered, r.sizes_ok, r.overlaps_ok) == (len(texts[r.item_id]), True, True)
+        got = {}
+        for r in pieces.collect():
+            assert r.piece == texts[r.item_id][r.start_offset : r.end_offset]
+            got.setdefault(r.item_id, []).append((r.start_offset, r.end_offset))
+        assert set(got) == set(texts)
+        for v in got.values():
+            v.sort()
+            assert all((1 <= a[1] - b[0] <= 60) if overlap else a[1] == b[0] for a, b in zip(v, v[1:]))
+
+
 def test_tree_loses_no_pair():
     rng = np.random.default_rng(3)
     token = rng.integers(0, 90, 700)
