@@ -180,15 +180,60 @@ def test_mix_shares_and_caps(spark):
     assert mixing.SourceMix(docs.limit(0), targets).report().count() == 3
 
 
+def _reader(known, **links):
+    one = np.ones(4, np.float32)
+    model = scans.Model({w: i for i, w in enumerate(known)}, np.tile(one, (len(known), 1)), np.zeros(4, np.float32), np.eye(4, dtype=np.float32))
+    return scans.Reader(model, {k: [(v, one.tobytes() if v not in ("cut", "compound") else None)] for k, v in links.items()})
+
+
 def test_scan_noise():
-    words = "the department keeps entry number under register coming fortnight committee explains reminder container between quarterly".split()
-    counts = {w: 6000 if w == "the" else 900 for w in words}
-    r = scans.Reader(counts, {w: i for i, w in enumerate(counts)}, np.zeros((len(counts), 4)), np.zeros((len(counts), 4)))
+    words = "the department keeps entry under register coming fortnight committee explains reminder between quarterly".split()
+    r = _reader(words, **{"nurnber": "number", "1ate": "late", "qua\x00rterly": "cut"})
     text = "The department keeps con-\ntainer entry nurnber 5 under the qua\nPage 3 of 9\nrterly register and 1ate pre-\nand post-entry text.\n\n12\n15\n19"
     noise, fixes, cuts = r.inspect(text, "Some title")
-    assert set(noise) == {(0, "hyphen"), (1, "misread"), (1, "hyphen"), (2, "furniture")}
-    assert "container entry number 5 under the quarterly register" in r.repair(text, "Some title")
+    assert set(noise) == {(0, "hyphen"), (1, "misread"), (1, "hyphen"), (2, "furniture"), (3, "misread")}
+    assert "container entry number 5 under the quarterly register and late" in r.repair(text, "Some title")
     assert r.inspect("", None)[0] == [] and r.repair("", None) == ""
+    unsure = scans.Reader(scans.Model(r.model.words, r.model.contexts * 0, r.model.mean, r.model.spread), r.facts)
+    assert not unsure.inspect(text, "Some title")[1]  # without vectors nothing is corrected
+    away = scans.Reader(scans.Model(r.model.words, -r.model.contexts, r.model.mean, r.model.spread), r.facts)
+    assert not away.inspect(text, "Some title")[1]
+
+
+def test_furniture_by_place_and_repetition():
+    body = "The committee of the northern region has considered the request and the"
+    lines = ["K12/34 | some memo", body, "2", body, "K12/34 | some memo", "following items were added to the list.", "Short heading", "", "Another paragraph stands here and is complete.", "A | B"]
+    assert scans.furniture(lines, None) == {0, 2, 4} - ({0} if not scans._breaks(lines, 0) else set())
+    assert scans.furniture(lines, "Short heading") >= {6}
+    assert scans.furniture(lines, None, {"\x01W#/# | w w": [("furniture", None)]}) == {0, 2, 4}
+    assert scans.furniture(["1", "2", "3"], None) == set() and scans.furniture([], None) == set()
+    assert scans.masked("K12/34 | some mem0") == "W#/# | w w"
+
+
+def _scan_corpus():
+    rng = random.Random(4)
+    shop = "shop head wear wool felt brim black cap coat scarf".split()
+    cave = "cave night wing dark roost fly cavern echo sleep moth".split()
+    desk = "list entry file page order desk clerk form sheet index".split()
+
+    def say(words, target):
+        w = rng.sample(words, 6)
+        return " ".join(w[:3] + [target] + w[3:])
+
+    rows = [say(shop, "hat") for _ in range(400)] + [say(desk, "number") for _ in range(400)] + [say(cave, "moth") for _ in range(300)]
+    rows += [say(cave, "bat") for _ in range(7)] + [say(desk, "nurnber") for _ in range(4)] + [say(desk, "num6er") for _ in range(2)] + ["", None]
+    return [(i, t, None) for i, t in enumerate(rows)]
+
+
+def test_scan_vectors_decide(spark):
+    docs = spark.createDataFrame(_scan_corpus(), "doc_id long, raw_markdown string, title string")
+    got = {(r.doc_id, r.kind) for r in scans.noisy_lines(docs).collect()}
+    misread = {i for i, k in got if k == "misread"}
+    assert misread >= set(range(1107, 1111)) and not misread & set(range(1107))  # a rare right word beside a frequent one stays
+    assert {(r.doc_id, r.kind) for r in scans.noisy_lines(docs, limit=0).collect()} == got  # facts by a join
+    fixed = {r.doc_id: r.text for r in scans.repaired(docs.where("doc_id >= 1100")).collect()}
+    assert fixed[1113] == "" and 1114 not in fixed
+    assert scans.noisy_lines(docs.limit(0)).count() == 0
 
 
 def test_subjects(spark):
