@@ -256,16 +256,42 @@ def test_subjects(spark):
     assert subjects.subject_posteriors(d, areas, labels.limit(0)).count() == 0
 
 
-def test_every_label_votes(spark, monkeypatch):
-    docs = [(i, ("court judge clause verdict. judge verdict court. ", "goal match league coach. match coach goal. ")[i % 2] * 3, None, ("x", "y")[i % 2], None, None) for i in range(60)]
+def _patterns(rng, accuracy, n=4000, labelled=200):
+    """Counts of (subject, pattern, label) of two-level functions that answer rightly with these probabilities."""
+    out = {}
+    for i in range(n):
+        true = rng.random() < 0.4
+        code = 0
+        for p in accuracy:
+            code = code * 2 + int(true if rng.random() < p else not true)
+        key = 0, code, (1 if true else -1) if i < labelled else 0
+        out[key] = out.get(key, 0) + 1
+    return out
+
+
+def test_accuracies_are_learned_and_every_function_counts():
+    sizes = {"a": 2, "b": 2, "c": 2}
+    post = subjects.learn_accuracies(_patterns(random.Random(1), (0.6, 0.9, 0.85)), functions=sizes)
+    assert post[0, 0b011] > 0.9 and post[0, 0b100] < 0.5  # the accurate functions overrule the first
+    for j, p in enumerate((0.3, 0.1, 0.15)):
+        bit = 4 >> j
+        moved = [abs(post[0, c | bit] - post[0, c & ~bit]) for c in range(8)]
+        assert max(moved) > 0.05
+    turned = subjects.learn_accuracies(_patterns(random.Random(1), (0.1, 0.9, 0.85)), functions=sizes)
+    assert turned[0, 0b011] > turned[0, 0b111]  # a function that is mostly wrong counts against
+
+
+def test_labels_steer_but_do_not_vote(spark):
+    docs = [(i, ("court judge clause verdict. judge verdict court. ", "goal match league coach. match coach goal. ")[i % 2] * 3, None, ("x", "y")[i % 2], None, None) for i in range(80)]
     d = spark.createDataFrame(docs, "doc_id long, text string, title string, source string, source_path string, name string")
     areas = spark.createDataFrame([("law",), ("sport",)], "subject string")
-    labels = spark.createDataFrame([(i, ("law", "sport")[i % 2]) for i in range(40)], "doc_id long, subject string")
-    seen = []
-    learn = subjects.learn_accuracies
-    monkeypatch.setattr(subjects, "MAX_LABELS", 12)
-    monkeypatch.setattr(subjects, "learn_accuracies", lambda p: seen.append(p) or learn(p))
-    assert subjects.subject_posteriors(d, areas, labels).count() >= 60
-    digit = [sum(n for c, n in seen[0].items() if c % 3 == v) for v in range(3)]
-    assert digit == [40, 40, 40]  # against, unlabelled, for
-    assert sum(n for c, n in seen[0].items() if c // 3 % 3 == 2) == 60  # the source prior, from 20 labels a source
+    labels = spark.createDataFrame([(i, ("law", "sport")[i % 2 if i > 3 else 1 - i % 2]) for i in range(40)], "doc_id long, subject string")
+    got = {(r.doc_id, r.subject) for r in subjects.subject_posteriors(d, areas, labels).collect()}
+    assert got == {(i, ("law", "sport")[i % 2]) for i in range(80)}  # wrong labels included
+
+
+def test_subject_tokens():
+    assert subjects.tokens("") == [subjects.PARAGRAPH]
+    t = subjects.tokens("One two. Three\n\nfour")
+    marks = [x for x in t if x <= subjects.PARAGRAPH]
+    assert marks == [subjects.SENTENCE, subjects.PARAGRAPH, subjects.PARAGRAPH] and len(t) == 7
