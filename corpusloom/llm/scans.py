@@ -324,7 +324,7 @@ class Reader:
     def _compound(self, line: str, following: str) -> bool:
         a = (_marked(line) or [None, ""])[1].lower()
         b = (_HEAD.match(following) or [None, ""])[1].lower()
-        return self._says(a, b, "compound")
+        return self._says(a + "-", b, "compound")
 
 
 def _places(w: str, part: str) -> Iterator[int]:
@@ -347,7 +347,7 @@ def line_ends(lines: list[str]) -> Iterator[tuple[str, str]]:
                 break
             h = _HEAD.match(lines[j])
             if h and (h.group(1)[0].islower() or m.re is _MARK):
-                yield m.group(1).lower(), h.group(1).lower()
+                yield m.group(1).lower() + ("-" if m.re is _MARK else ""), h.group(1).lower()
 
 
 def _statistics_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -618,8 +618,8 @@ def learn(documents: DataFrame) -> tuple[Model, DataFrame]:
         empty = np.zeros((0, DIM), np.float32)
         return Model({}, empty, np.zeros(DIM, np.float32), np.zeros((DIM, DIM), np.float32)), materialise(forms.unionByName(cuts), "scan-facts")
     links = materialise(candidate_links(words), "scan-links")
-    pairs = documents.select("text").mapInArrow(_pair_batches(spark.sparkContext.broadcast(number)), "w long, c int, n long").groupBy("w", "c").agg(F.sum("n").alias("n"))
-    pairs = materialise(pairs.repartition("w").sortWithinPartitions("w"), "scan-pairs")
+    pairs = documents.select("text").mapInArrow(_pair_batches(spark.sparkContext.broadcast(number)), "w long, c int, n long").repartition("w").groupBy("w", "c").agg(F.sum("n").alias("n"))
+    pairs = materialise(pairs.sortWithinPartitions("w"), "scan-pairs")
     inside = pairs.where("w >= 0")
     vec, ctx = skip_grams(inside, len(number))
     # words outside: a linear map from the mean context, fitted on the frequent words
@@ -656,13 +656,14 @@ def _form_facts(counted: DataFrame) -> DataFrame:
 
 
 def _cut_facts(counted: DataFrame, words: DataFrame) -> DataFrame:
-    """Line ends whose halves make a frequent word (``cut``), or are words themselves and make none (``compound``)."""
+    """Unmarked line ends whose halves make a frequent word (``cut``), marked ones whose halves are words and make none (``compound``)."""
     half = F.split("key", "\x00")
-    ends = counted.where(F.contains("key", F.lit("\x00"))).select("key", half[0].alias("a"), half[1].alias("b"))
+    ends = counted.where(F.contains("key", F.lit("\x00"))).select("key", half[0].endswith("-").alias("marked"), F.rtrim(half[0], F.lit("-")).alias("a"), half[1].alias("b"))
     for name, word in (("na", F.col("a")), ("nb", F.col("b")), ("nw", F.concat("a", "b"))):
         ends = ends.withColumn("word", word).join(words.withColumnRenamed("n", name), "word", "left").drop("word")
     na, nb, nw = (F.coalesce(c, F.lit(0)) for c in ("na", "nb", "nw"))
-    fact = F.when((nw >= MIN_COUNT) & (F.least(na, nb) * 5 < nw), "cut").when((nw < MIN_COUNT) & (na >= MIN_COUNT) & (nb >= MIN_COUNT), "compound")
+    cut, compound = (nw >= MIN_COUNT) & (F.least(na, nb) * 5 < nw), (nw < MIN_COUNT) & (na >= MIN_COUNT) & (nb >= MIN_COUNT)
+    fact = F.when(~F.col("marked") & cut, "cut").when(F.col("marked") & compound, "compound")
     return ends.select("key", fact.alias("fact"), F.lit(None).cast("binary").alias("vector")).where("fact is not null")
 
 
