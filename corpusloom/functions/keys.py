@@ -16,6 +16,11 @@ def norm_id(col: str | Column) -> Column:
     return F.when(out != "", out)
 
 
+def strip(col: str | Column) -> Column:
+    """Text without white space at its ends (blanks, tabs, line ends, no-break spaces and the other Unicode spaces)."""
+    return F.regexp_replace(F.col(col) if isinstance(col, str) else col, r"(?U)^\s+|\s+$", "")
+
+
 def join_verdicts(rows: DataFrame, verdicts: DataFrame, keys: list[str], weight: str) -> DataFrame:
     """Inner-join *rows* with one-row-per-key *verdicts* without a hot task.
 

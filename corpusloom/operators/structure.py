@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 
@@ -83,16 +84,55 @@ def section_tree(heads: DataFrame) -> DataFrame:
     return rows.withColumn("path", F.concat_ws(".", *parts)).select("doc", "ordinal", "level", "title", "content", "start_line", "end_line", "parent_ordinal", "position", "path")
 
 
-def outline(tree: DataFrame) -> DataFrame:
-    """``(doc, outline)``: indented ``path. title`` lines in document order."""
-    line = F.concat(F.repeat(F.lit(" "), 2 * (F.col("level") - 1)), "path", F.lit(". "), "title")
+def outline(tree: DataFrame, include_content: bool = False) -> DataFrame:
+    """``(doc, outline)``: indented ``path. title`` lines in document order, with the first 100 characters if asked."""
+    indent = F.repeat(F.lit(" "), 2 * (F.col("level") - 1))
+    line = F.concat(indent, "path", F.lit(". "), "title")
+    if include_content:
+        some = F.concat(F.lit("\n"), indent, F.lit("   ["), F.translate(F.substring("content", 1, 100), "\n", " "), F.lit("...]"))
+        line = F.concat(line, F.when(F.length("content") > 0, some).otherwise(""))
     return tree.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("ordinal", line.alias("line")))).alias("x")).select("doc", F.array_join("x.line", "\n").alias("outline"))
 
 
-def leaves(tree: DataFrame) -> DataFrame:
-    """Sections without children."""
+def leaves(tree: DataFrame, heads: DataFrame | None = None) -> DataFrame:
+    """Sections without children; with *heads* also the roots of documents without headings."""
     parents = tree.select("doc", F.col("parent_ordinal").alias("ordinal")).where("ordinal is not null").distinct()
-    return tree.join(parents, ["doc", "ordinal"], "left_anti")
+    found = tree.join(parents, ["doc", "ordinal"], "left_anti").select("doc", "ordinal", "path")
+    if heads is None:
+        return found
+    bare = heads.where("ordinal < 0").join(tree.select("doc").distinct(), "doc", "left_anti")
+    return found.unionByName(bare.select("doc", "ordinal", F.lit("").alias("path")))
+
+
+def at_path(tree: DataFrame, path: str) -> DataFrame:
+    """The section at a path of each document."""
+    return tree.where(F.col("path") == path)
+
+
+def _nested_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        out = []
+        for doc, text in zip(b.column("doc").to_pylist(), b.column("text").to_pylist()):
+            root = {"id": f"{doc}_root", "level": 0, "title": "Document Root", "content": "", "path": "", "start_line": 0, "end_line": text.count("\n") + 1, "children": []}
+            stack = [root]
+            for ordinal, level, title, content, start, end in lex(text):
+                if ordinal < 0:
+                    root["content"] = content
+                    continue
+                while stack[-1]["level"] >= level:
+                    stack.pop()
+                up = stack[-1]
+                place = str(len(up["children"]) + 1)
+                node = {"id": f"{doc}_{ordinal}", "level": level, "title": title, "content": content, "path": f"{up['path']}.{place}" if up["path"] else place, "start_line": start, "end_line": end, "children": []}
+                up["children"].append(node)
+                stack.append(node)
+            out.append(json.dumps(root, ensure_ascii=False))
+        yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array(out, pa.string())], names=["doc", "tree"])
+
+
+def nested(docs: DataFrame) -> DataFrame:
+    """``(doc, tree)``: the heading tree of ``docs(doc, text)`` as JSON, children inside their parents."""
+    return docs.where("text is not null").select("doc", "text").mapInArrow(_nested_batches, "doc string, tree string")
 
 
 def siblings(tree: DataFrame) -> DataFrame:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.plans import corpus, references
+from corpusloom.plans import corpus, references, search
 
-_MODULES = (references, corpus)
+_MODULES = (references, corpus, search)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

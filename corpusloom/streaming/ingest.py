@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from corpusloom.operators.structure import headings, section_tree
+from corpusloom.sources.providers import TEXT, suffix
 
-SUFFIXES = (".md", ".markdown", ".txt")
 
 
 def ingest(spark: SparkSession, folder: str, target: str, checkpoint: str) -> StreamingQuery:
@@ -23,5 +23,5 @@ def ingest(spark: SparkSession, folder: str, target: str, checkpoint: str) -> St
         section_tree(headings(docs)).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").load(folder)
-    rows = files.where(F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)).isin(*SUFFIXES)).select("path", F.decode("content", "UTF-8").alias("text"))
+    rows = files.where(suffix("path").isin(*TEXT)).select("path", F.decode("content", "UTF-8").alias("text"))
     return rows.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -7,7 +7,7 @@ from corpusloom.operators import fulltext
 
 COLUMNS = ["content", "extra", "title"]
 QUERIES = [
-    "payment", "payments contract", "payment OR notice", "payment AND notice NOT delay", "payment NOT (notice OR delay)", '"contract notice"', "contract + notice", "pay*", "paym*",
+    "payment", "payments contract", "payment OR notice", "payment AND notice NOT delay", "payment NOT (notice OR delay)", "payment NOT (notice AND zebra)", "(payment AND zebra) OR delay", '"contract notice"', "contract + notice", "pay*", "paym*",
     "title : contract", "{title extra} : notice", "- content : delay", "^contract", "title : ^ notice", "NEAR(contract delay, 2)", 'NEAR("contract notice" delay, 3)', "NEAR(payment notice)",
     "(payment OR notice) AND delay", "payment notice OR delay zebra", "café", "cafe", "CAFE OR resumé", '"what\'s due?"', "content : (payment OR delay)", "relational", '""', "notice \"\"", "zzz", "notice OR zzz", "NEAR(contract notice delay, 1)",
 ]
