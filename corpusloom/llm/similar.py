@@ -7,7 +7,8 @@ search.  The norm of the sum is stored beside the codes.  A query visits the
 look-ups (query times codeword, summed over the codes, divided by the stored
 norm), and reranks a short list by the exact cosine.
 
-The codebooks are fitted on at most ``SAMPLE`` vectors (the smallest id hashes
+The residual codebooks are fitted stage by stage and then jointly, by least squares
+on the codes of the beam search.  The codebooks are fitted on at most ``SAMPLE`` vectors (the smallest id hashes
 of a hash slice, so the sample is the same on every run); every vector is indexed and every
 vector is a query.  The second coarse codebook grows with the number of
 vectors, so a cell keeps about ``PER_CELL`` members; cells far above that are
@@ -36,9 +37,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.functions.keys import join_verdicts
 from corpusloom.sources.tables import materialise
 
 SAMPLE, PER_CELL, STAGES, WORDS, BEAM = 40_000, 1024, 4, 256, 4
+#: Joint fits of all residual codebooks after the stage by stage one.
+REFITS = 2
 #: Members and queries of one task of a large cell.
 BLOCK = 8192
 #: Vectors whose true neighbours are found exactly to set probes and short list, and the share of these that must be found.
@@ -78,7 +82,30 @@ class Codebooks:
         for s in range(STAGES):
             stages.append(kmeans(r, min(WORDS, len(r)), 6, 3 + s))
             r = r - stages[-1][_nearest(r, stages[-1])]
-        return cls(first, second, stages)
+        books = cls(first, second, stages)
+        for _ in range(REFITS):
+            books._refit(x[: 64 * STAGES * WORDS // 4])
+        return books
+
+    def _refit(self, x: np.ndarray) -> None:
+        """All residual codewords at once by least squares, given the beam search's codes."""
+        cell = self.cells(x, 1)[:, 0]
+        codes = np.concatenate([self.encode(x[i : i + 2048], cell[i : i + 2048])[0] for i in range(0, len(x), 2048)]).astype(np.int64)
+        start = np.cumsum([0, *(len(b) for b in self.stages)])
+        at = codes + start[:-1]
+        n = int(start[-1])
+        pairs = np.zeros((n, n))
+        for a in range(at.shape[1]):
+            for b in range(at.shape[1]):
+                np.add.at(pairs, (at[:, a], at[:, b]), 1.0)
+        sums = np.zeros((n, x.shape[1]))
+        left = x - self.centre(cell)
+        for a in range(at.shape[1]):
+            np.add.at(sums, at[:, a], left)
+        old = np.concatenate(self.stages)
+        # a little weight on the old codewords keeps unused ones in place
+        new = np.linalg.solve(pairs + 0.1 * np.eye(n), sums + 0.1 * old).astype(np.float32)
+        self.stages = [new[i:j] for i, j in zip(start, start[1:])]
 
     def cells(self, x: np.ndarray, probes: int) -> np.ndarray:
         """The *probes* nearest cells of each vector, nearest first (first codeword x second codeword)."""
@@ -372,14 +399,14 @@ def most_similar(vectors: DataFrame, k: int = 5, min_cosine: float = -1.0, dim:
     other = found.join(named.select(F.col("vh").alias("qb"), F.col("id").alias("other_id")), "qb").select("qa", "other_id", "cosine")
     twins = coded.groupBy("vh").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("vh")
     same = named.join(twins, "vh", "left_semi").select(F.col("vh").alias("qa"), F.col("id").alias("other_id"), F.lit(1.0).alias("cosine"))
-    near = other.unionByName(same)
-    near = near.withColumn("rn", F.row_number().over(Window.partitionBy("qa").orderBy(F.desc("cosine"), "other_id"))).where(F.col("rn") <= k + 1).drop("rn")
-    # at most k + 1 rows a class: the way back to the ids is a join against short lists
+    best = F.slice(F.sort_array(F.collect_set(F.struct((-F.col("cosine")).alias("far"), "other_id"))), 1, k + 1)  # at most 2k + 2 rows a class
+    lists = other.unionByName(same).groupBy("qa").agg(best.alias("near"))
     ids = coded.select("id", F.col("vh").alias("qa")).distinct()
-    w = Window.partitionBy("id").orderBy(F.desc("cosine"), "other_id")
-    return (
-        ids.join(near, "qa").where("id <> other_id").select("id", "other_id", "cosine", F.row_number().over(w).alias("rank")).where(F.col("rank") <= k)
-    )
+    verdicts = materialise(ids.groupBy("qa").agg(F.count(F.lit(1)).alias("n")).join(lists, "qa"), "similar-lists")
+    # back to the ids: the largest classes by a broadcast, the rest by a shuffle
+    near = F.slice(F.filter("near", lambda x: x["other_id"] != F.col("id")), 1, k)
+    rows = join_verdicts(ids, verdicts, ["qa"], "n").select("id", F.posexplode(near).alias("place", "x"))
+    return rows.select("id", "x.other_id", (-F.col("x.far")).alias("cosine"), (F.col("place") + 1).cast("int").alias("rank"))
 
 
 def _neighbours(coded: DataFrame, books: Codebooks, dim: int, k: int, probes: int, short: int, least: float) -> DataFrame:
