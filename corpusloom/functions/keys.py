@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A broadcast list of hot keys has at most this many rows, at any input size.
-HOT_KEYS = 1000
+#: Rows of one key above which a join splits it.  A million million rows have at most a million such keys.
+SPLIT_ROWS = 1_000_000
 
 
 def norm_id(col: str | Column) -> Column:
@@ -21,14 +21,17 @@ def strip(col: str | Column) -> Column:
     return F.regexp_replace(F.col(col) if isinstance(col, str) else col, r"(?U)^\s+|\s+$", "")
 
 
-def join_verdicts(rows: DataFrame, verdicts: DataFrame, keys: list[str], weight: str) -> DataFrame:
+def join_verdicts(rows: DataFrame, verdicts: DataFrame, keys: list[str], weight: str, split: int = SPLIT_ROWS) -> DataFrame:
     """Inner-join *rows* with one-row-per-key *verdicts* without a hot task.
 
-    The ``HOT_KEYS`` keys with the largest *weight* (their number of rows) are
-    joined by a broadcast of exactly those keys; any other key holds at most
-    1/``HOT_KEYS`` of the rows and is joined through a shuffle.
+    A key whose *weight* (its number of rows) exceeds *split* is salted: its rows
+    are spread over parts by a hash of the row, and its verdict is repeated for each part.  Only these keys are
+    broadcast, and the rows are read once.
     """
-    hot = verdicts.orderBy(F.col(weight).desc(), *keys).limit(HOT_KEYS)
-    first = rows.join(F.broadcast(hot), keys, "inner")
-    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(verdicts, keys, "inner")
-    return first.unionByName(rest)
+    parts = F.greatest(F.ceil(F.col(weight) / split), F.lit(1)).cast("int")
+    hot = verdicts.where(F.col(weight) > split).select(*keys, parts.alias("_parts"))
+    hashable = [c for c in rows.columns if "map<" not in rows.schema[c].dataType.simpleString()]
+    salt = F.coalesce(F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in hashable]), F.col("_parts")).cast("int"), F.lit(0))
+    salted = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", salt).drop("_parts")
+    spread = verdicts.withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return salted.join(spread, [*keys, "_salt"]).drop("_salt")

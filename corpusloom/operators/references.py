@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.keys import join_verdicts, norm_id
+from corpusloom.sources.tables import materialise
 
 MATCH = ("simple", "partial", "full")
 
@@ -49,13 +50,12 @@ def latest_deletions(log: DataFrame, table_name: str) -> DataFrame:
     )
 
 
-def parent_state(parent: DataFrame, id_col: str, arrived: str, deletions: DataFrame | None, extra_keys: dict[str, Column] | None = None) -> DataFrame:
+def parent_state(parent: DataFrame, id_col: str, arrived: str, deletions: DataFrame | None) -> DataFrame:
     """One row per key with its earliest arrival and whether it is deleted."""
-    extra = extra_keys or {}
     keyed = (
-        parent.select(norm_id(id_col).alias("_rid"), *[c.alias(k) for k, c in extra.items()], F.col(arrived).alias("_arrived"))
+        parent.select(norm_id(id_col).alias("_rid"), F.col(arrived).alias("_arrived"))
         .where("_rid is not null")
-        .groupBy("_rid", *extra)
+        .groupBy("_rid")
         .agg(F.min("_arrived").alias("_arrived"))
     )
     if deletions is None:
@@ -77,7 +77,7 @@ def orphan_references(
     *keys* maps child key columns to parent key columns, both already
     comparable.  The child is pre-aggregated to distinct keys before it meets
     the parent, so a key that holds a third of the rows costs one row there;
-    the way back to the rows splits hot keys (``join_verdicts``).
+    only failing keys are joined back to the rows, hot ones in parts (``join_verdicts``).
     """
     if match not in MATCH:
         raise ValueError(f"match must be one of {MATCH}")
@@ -112,9 +112,11 @@ def _failing(group: DataFrame, parent: DataFrame, ck: list[str], pk: list[str],
     verdicts = (
         asked.join(there, names, "left")
         .withColumn("_bad", F.when(F.col("_live").isNull(), F.lit("missing")).when(~F.col("_live"), F.lit("deleted")).when(F.col("_when") > F.col("_first"), F.lit("late")))
+        .where("_bad is not null")
         .select(*names, "_n", "_bad", "_when")
     )
-    bad = join_verdicts(rows, verdicts, names, "_n").where("_bad is not null and (_bad <> 'late' or _when > _seen)")
+    # only keys that fail go back to the rows
+    bad = join_verdicts(rows, materialise(verdicts, "reference-verdicts"), names, "_n").where("_bad <> 'late' or _when > _seen")
     return bad.select("_row.*", F.col("_bad").alias("reason"))
 
 
@@ -126,22 +128,22 @@ def corpus_references(documents: DataFrame, sections: DataFrame, chunks: DataFra
     ``loaded_at`` of its id (documents: ``ingested_at``); rows of one id
     delivered twice count once; rows without an id count by their null id.
     """
-    docs = parent_state(documents, "id", "ingested_at", latest_deletions(log, "documents"))
-    secs = parent_state(sections, "id", "loaded_at", latest_deletions(log, "sections"))
-    out = []
-    for field, frame, column, parent in (
-        ("sections.document_id", sections, "document_id", docs),
-        ("chunks.document_id", chunks, "document_id", docs),
-        ("chunks.section_id", chunks, "section_id", secs),
-    ):
-        rows = (
-            frame.select(F.col("id").alias("row_id"), norm_id(column).alias("_ref"), F.col("loaded_at").alias("_at"))
-            .groupBy("row_id", "_ref")
-            .agg(F.min("_at").alias("_at"))
-        )
-        bad = orphan_references(rows, parent, {"_ref": "_rid"}, "simple", "_at", "_arrived", "_deleted")
-        out.append(bad.select(F.lit(field).alias("ref_field"), "row_id", F.date_format("_at", "yyyy-MM").alias("month"), "reason"))
-    return reduce(DataFrame.unionByName, out)
+    parents = None
+    for name, frame, arrived in (("documents", documents, "ingested_at"), ("sections", sections, "loaded_at")):
+        state = parent_state(frame, "id", arrived, latest_deletions(log, name)).withColumn("_table", F.lit(name))
+        parents = state if parents is None else parents.unionByName(state)
+
+    def ref(field: str, to: str, column: str) -> Column:
+        return F.struct(F.lit(field).alias("ref_field"), F.lit(to).alias("_to"), norm_id(column).alias("_ref"))
+
+    own = [F.col("id").alias("row_id"), F.col("loaded_at").alias("_at")]
+    rows = sections.select(*own, ref("sections.document_id", "documents", "document_id").alias("r"))
+    rows = rows.unionByName(chunks.select(*own, F.explode(F.array(ref("chunks.document_id", "documents", "document_id"), ref("chunks.section_id", "sections", "section_id"))).alias("r")))
+    rows = rows.select("row_id", "_at", "r.ref_field", "r._to", "r._ref")
+    bad = orphan_references(rows, parents, {"_to": "_table", "_ref": "_rid"}, "simple", "_at", "_arrived", "_deleted")
+    # deliveries of one row count once, by the earliest; it fails if any does
+    once = bad.groupBy("ref_field", "row_id", "_ref").agg(F.min("_at").alias("_at"), F.min_by("reason", "_at").alias("reason"))
+    return once.select("ref_field", "row_id", F.date_format("_at", "yyyy-MM").alias("month"), "reason")
 
 
 def composite_chunk_references(sections: DataFrame, chunks: DataFrame, match: str = "partial") -> DataFrame:
