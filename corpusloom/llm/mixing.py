@@ -35,6 +35,8 @@ from corpusloom.llm.tokens import TOKENIZER, with_token_counts
 from corpusloom.sources.tables import materialise
 
 DP_TOKENS, BUCKETS, MAX_LENGTHS = 32_768, 1024, 2_000_000
+#: Rows of a length table that are still broadcast.
+FEW_LENGTHS = 50_000
 
 
 @dataclass
@@ -135,6 +137,9 @@ class SourceMix:
 
     def selection(self) -> DataFrame:
         """``(source, doc_id, tokens, uses)`` of the documents that are used."""
+        def small(df: DataFrame) -> DataFrame:
+            return F.broadcast(df) if sum(len(p.by_length) for p in self.plans) <= FEW_LENGTHS else df
+
         passes = self.spark.createDataFrame([(p.source, p.passes) for p in self.plans], "source string, passes int")
         wanted = self.spark.createDataFrame([(p.source, n, c) for p in self.plans for n, c in p.by_length.items()], "source string, tokens long, want long")
         bucket = F.shiftrightunsigned("h", 54).cast("int")
@@ -142,13 +147,13 @@ class SourceMix:
         size = rows.groupBy("source", "tokens", "bucket").agg(F.count(F.lit(1)).alias("n"))
         order = Window.partitionBy("source", "tokens").orderBy("bucket")  # at most 1,024 rows each
         edge = (
-            size.join(F.broadcast(wanted), ["source", "tokens"])
+            size.join(small(wanted), ["source", "tokens"])
             .withColumn("upto", F.sum("n").over(order))
             .where("upto >= want and upto - n < want")
             .select("source", "tokens", F.col("bucket").alias("edge"), (F.col("want") - F.col("upto") + F.col("n")).alias("need"))
         )
-        # one row per source and length, at most MAX_LENGTHS of them (checked above)
-        marked = rows.join(F.broadcast(edge), ["source", "tokens"], "left")
+        # one row per source and length: a broadcast up to FEW_LENGTHS, else a shuffle
+        marked = rows.join(small(edge), ["source", "tokens"], "left")
         below = marked.where("bucket < edge").select("source", "doc_id", F.lit(1).alias("once"))
         rank = F.row_number().over(Window.partitionBy("source", "tokens").orderBy("h", "doc_id"))
         at = marked.where("bucket = edge").withColumn("rank", rank).where("rank <= need").select("source", "doc_id", F.lit(1).alias("once"))
@@ -156,6 +161,11 @@ class SourceMix:
         uses = F.col("passes") + F.coalesce("once", F.lit(0))
         return self.docs.join(F.broadcast(passes), "source").join(extra, "doc_id", "left").select("source", "doc_id", "tokens", uses.alias("uses")).where("uses > 0")
 
+    def check(self) -> DataFrame:
+        """``(source, used, within_cap)`` of every listed source."""
+        caps = self.spark.createDataFrame([(s, c) for s, _, c in self.listed], "source string, max_repeats int")
+        return self.report().join(caps, "source").select("source", (F.col("documents") > 0).alias("used"), (F.col("max_uses") <= F.coalesce("max_repeats", F.lit(0))).alias("within_cap"))
+
     def report(self) -> DataFrame:
         """``(source, target_share, actual_share, documents, max_uses, tokens)``, one row per listed source."""
         listed = self.spark.createDataFrame([(s, t) for s, t, _ in self.listed], "source string, target_share double")

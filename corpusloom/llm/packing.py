@@ -126,3 +126,13 @@ def fill_report(packed: DataFrame, budgets: DataFrame) -> DataFrame:
     return used.join(budgets.select("budget_name", "capacity_tokens").distinct(), "budget_name").select(
         "budget_name", "capacity_tokens", "bins", "tokens", F.round(F.col("tokens") / (F.col("bins") * F.col("capacity_tokens")), 4).alias("fill")
     )
+
+
+def check(packed: DataFrame, budgets: DataFrame) -> DataFrame:
+    """``(budget_name, capacity_tokens, documents, overfull, needless)``: items placed, containers above the capacity, items divided although they fit."""
+    capacity = F.broadcast(budgets.select("budget_name", "capacity_tokens").distinct())  # at most 1,000 rows
+    bins = packed.groupBy("budget_name", "bin_id").agg(F.sum("tokens").alias("t")).join(capacity, "budget_name").groupBy("budget_name").agg(F.sum((F.col("t") > F.col("capacity_tokens")).cast("long")).alias("overfull"))
+    items = packed.groupBy("budget_name", "doc_id").agg(F.sum("tokens").alias("t"), F.max("piece_no").alias("last"), F.sum((F.col("piece_no") == 0).cast("long")).alias("n"))
+    split = (F.col("last") > 0) & (F.col("n") == 1) & (F.col("t") <= F.col("capacity_tokens"))
+    items = items.join(capacity, "budget_name").groupBy("budget_name", "capacity_tokens").agg(F.sum("n").alias("documents"), F.sum(split.cast("long")).alias("needless"))
+    return items.join(bins, "budget_name").select("budget_name", "capacity_tokens", "documents", "overfull", "needless")

