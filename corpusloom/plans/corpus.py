@@ -145,6 +145,8 @@ _LATEST_SECTIONS = "l as (select * from (select *, row_number() over (partition
 SQL |= {
     "section_tree": f"{_WITH} select * from sec",
     "outline": f"{_WITH} select doc, string_agg(repeat(' ', 2 * (level - 1)) || path || '. ' || title, chr(10) order by ordinal) as outline from sec group by 1",
+    "outline_content": f"""{_WITH}, body as (select s.*, trim((select string_agg(line, chr(10) order by no) from lines l where l.doc = s.doc and l.no > s.start_line and l.no < s.end_line), e' \\t\\r\\n\\f\\v') as content from sec s)
+        select doc, string_agg(repeat(' ', 2 * (level - 1)) || path || '. ' || title || case when length(content) > 0 then chr(10) || repeat(' ', 2 * (level - 1)) || '   [' || replace(substr(content, 1, 100), chr(10), ' ') || '...]' else '' end, chr(10) order by ordinal) as outline from body group by 1""",
     "at_path": f"{_WITH} select doc, ordinal, title from sec where path = '1.1'",
     "leaves": f"""{_WITH} select doc, ordinal, path from sec s where not exists (select 1 from sec c where c.doc = s.doc and c.parent_ordinal = s.ordinal)
         union all select id, -1, '' from documents where raw_markdown is not null and id not in (select doc from sec)""",
